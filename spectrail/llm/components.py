@@ -19,7 +19,7 @@ from spectrail.operators.skew import HOT_ROWS, hot_keys, salted_join
 from spectrail.session import BROADCAST_ROWS, cut
 
 #: Edges that one cell holds on average at most, which bounds the memory of its union-find.
-CELL_EDGES = 400_000
+CELL_EDGES = 100_000
 
 
 def union_find(pairs: Iterator[tuple[str, str]]) -> dict[str, str]:
@@ -76,7 +76,7 @@ def linked_groups(pairs: DataFrame, left: str, right: str, cell_edges: int = CEL
     edges = cut(_undirected(ends))
     parents: list[DataFrame] = []
     while n := edges.count():
-        blocks = max(4, ceil(sqrt(2 * n / cell_edges)))
+        blocks = ceil(sqrt(2 * n / cell_edges))
         a, b = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
         stars = edges.withColumn("row", F.least(a, b)).withColumn("column", F.greatest(a, b)).groupBy("row", "column").applyInArrow(_cell, "v string, rep string")
         # A vertex has one representative per cell of its row and column at most: a bounded set.

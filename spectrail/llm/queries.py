@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.llm.components import linked_groups
+from spectrail.llm.contamination import find_leaks
 from spectrail.llm.duplicates import collapse_formatting, find_copies
+from spectrail.llm.language import find_segments, fit, label_code
 from spectrail.llm.rank_fusion import rank_items, undisputed_firsts
 from spectrail.llm.survivorship import surviving_values
+from spectrail.llm.tokenizer import encode_corpus
 from spectrail.llm.top_items import top_items
 from spectrail.operators.orphans import tidy_key
 from spectrail.session import table
@@ -146,6 +149,45 @@ SELECT feature_id, candidate_id FROM clean_chemo WHERE feature_id IS NOT NULL AN
 QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id) <= 5
 """
 
+# 8: encoding of the whole corpus with a public tokenizer
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# 9: evaluation texts leaking into training text
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items that they hold whole, altered or re-parameterised, with the words of the passage."""
+    return find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the test items of which they hold a passage."""
+    return p9_leaks(spark, sf_dir).where("kind IN ('exact', 'altered')").select("doc_id", "item_id")
+
+
+# 10: missing or wrong document language labels
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment in one language with a confidence."""
+    docs = table(spark, sf_dir, "documents")
+    english = [("en", r.text) for r in table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("text").collect()]  # a fixed list of 160 items
+    return find_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang", english))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of each document that has several, or one that its label doesn't name."""
+    segments = p10_segments(spark, sf_dir).groupBy("doc_id").agg(F.collect_set("lang").alias("langs"))
+    labels = table(spark, sf_dir, "documents").select("doc_id", label_code(F.col("lang")).alias("code"))
+    cases = segments.join(labels, "doc_id").where((F.size("langs") > 1) | F.col("code").isNull() | (F.col("langs")[0] != F.col("code")))
+    return cases.select("doc_id", F.explode("langs").alias("lang"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_collapsed": p2_collapsed,
@@ -156,6 +198,11 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p6_found": p6_found,
+    "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_leaks": p9_leaks,
+    "p10_found": p10_found,
+    "p10_segments": p10_segments,
 }
 SQL = {
     "p3_found": _P3 + "SELECT * FROM groups",
