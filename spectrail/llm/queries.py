@@ -9,6 +9,7 @@ from spectrail.llm.components import linked_groups
 from spectrail.llm.contamination import find_leaks
 from spectrail.llm.duplicates import collapse_formatting, find_copies
 from spectrail.llm.language import find_segments, fit, label_code
+from spectrail.llm.name_matching import match_names
 from spectrail.llm.rank_fusion import rank_items, undisputed_firsts
 from spectrail.llm.survivorship import surviving_values
 from spectrail.llm.tokenizer import encode_corpus
@@ -149,6 +150,24 @@ SELECT feature_id, candidate_id FROM clean_chemo WHERE feature_id IS NOT NULL AN
 QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id) <= 5
 """
 
+# 7: mapping free-entered values to a canonical list
+
+
+def p7_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every typed organism name that isn't itself in the list, with the entry it stands for, how that was found and how similar they are."""
+    return match_names(table(spark, sf_dir, "taxonomy"), "taxonomy_id", "organism_name", table(spark, sf_dir, "organism_reference"), "ref_id", "organism_name")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of each typed organism name, -1 if it stands for none."""
+    return p7_matches(spark, sf_dir).select("taxonomy_id", "ref_id")
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that stand for no entry, with their number of rows."""
+    return p7_matches(spark, sf_dir).where("ref_id = -1").groupBy("organism_name").agg(F.count("*").alias("n_rows"))
+
+
 # 8: encoding of the whole corpus with a public tokenizer
 
 
@@ -198,6 +217,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_ranked": p5_ranked,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_matches": p7_matches,
+    "p7_unmatched": p7_unmatched,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
