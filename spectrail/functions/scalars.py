@@ -38,7 +38,7 @@ def pseudo_initial(similarity: Column, confidence: Column) -> Column:
 
 def collapse_sorted(c: Column) -> Column:
     """Aggregate: distinct non-blank values in order, joined; null if there is none."""
-    return F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim(c), F.lit("")))), MANY), F.lit(""))
+    return F.nullif(F.array_join(F.array_sort(F.collect_set(F.when(F.trim(c) != "", F.trim(c)))), MANY), F.lit(""))
 
 
 def collapse_first_seen(order: Column, c: Column) -> Column:

@@ -100,7 +100,8 @@ def enrich_structures(df: DataFrame, stages: list[tuple[str, DataFrame]], column
 def pivot_xrefs(xrefs: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
     """One column per prefix with a structure's distinct ids, joined; prefixes: a known list spares the pass that finds them."""
     wide = xrefs.groupBy("inchikey").pivot("prefix", prefixes) if prefixes else xrefs.groupBy("inchikey").pivot("prefix")
-    return wide.agg(collapse_sorted(F.col("id")))
+    wide = wide.agg(F.collect_set("id"))
+    return wide.select("inchikey", *[F.nullif(F.array_join(F.array_sort(c), " $ "), F.lit("")).alias(c) for c in wide.columns if c != "inchikey"])
 
 
 def rt_library(rows: DataFrame, unit: str, kind: str) -> DataFrame:
@@ -115,7 +116,7 @@ def rt_library(rows: DataFrame, unit: str, kind: str) -> DataFrame:
 
 def exploded(df: DataFrame, column: str, separator: str = r"\|") -> DataFrame:
     """One row per part of a cell with several values, trimmed, blanks left out; a null cell keeps its row."""
-    parts = F.filter(F.transform(F.split(F.col(column), separator), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.col(column), separator), lambda x: F.trim(x)), lambda x: x != "")
     return df.withColumn(column, F.explode_outer(F.when(F.col(column).isNotNull(), parts)))
 
 
