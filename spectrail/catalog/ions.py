@@ -54,7 +54,7 @@ def entropy_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra of the strongest peaks alone."""
     rows = _spectra(spark, sf_dir)
-    strong = F.filter("peaks", lambda p: p["intensity"] > 1.6)
+    strong = F.filter("peaks", lambda p: p["intensity"] > 0.27)
     return rows.withColumn("peaks", strong).where(F.size("peaks") >= 2)
 
 
@@ -78,7 +78,7 @@ def spectrum_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spectra_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = clean_spectra(_spectra(spark, sf_dir), "peaks", cutoff=0.5, least=3)
+    clean = clean_spectra(_spectra(spark, sf_dir), "peaks", cutoff=0.1, least=3)
     return clean.select("feature_id", F.size("peaks").cast("long").alias("n"), F.round(F.array_max(F.transform("peaks", lambda p: p["intensity"])), 6).alias("top"))
 
 
@@ -279,7 +279,7 @@ SQL = {
     "cosine_sqrt_similarity": f"WITH {_COS} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum(sqrt(a.v * b.v)) / sqrt(any_value(x.s) * any_value(y.s)), 6) AS score FROM p a JOIN p b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id GROUP BY 1, 2",
     "shifted_similarity": f"WITH {_COS} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum(sqrt(a.v * b.v)) / sqrt(any_value(x.s) * any_value(y.s)), 6) AS score, CAST(count(*) AS INT) AS matches FROM p a JOIN p b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id GROUP BY 1, 2",
     "spectrum_sanitize": f"WITH {_P} SELECT vec_id AS feature_id, count(*) FILTER (v > 0) AS n, round(sum(v), 5) AS sum, true AS ok FROM p GROUP BY 1",
-    "spectra_cleaning": f"WITH {_P}, k AS (SELECT * FROM p WHERE v >= 0.5) SELECT vec_id AS feature_id, count(*) AS n, round(max(v) / sum(v), 6) AS top FROM k GROUP BY 1 HAVING count(*) >= 3",
+    "spectra_cleaning": f"WITH {_P}, k AS (SELECT * FROM p WHERE v >= 0.1) SELECT vec_id AS feature_id, count(*) AS n, round(max(v) / sum(v), 6) AS top FROM k GROUP BY 1 HAVING count(*) >= 3",
     "replicate_merge": f"WITH {_P} SELECT label, count(DISTINCT mz) FILTER (v > 0) AS n, round(sum(v), 3) AS sum FROM p GROUP BY 1",
     "score_histogram": "SELECT CAST(least(floor(score_weighted_chemo * 10), 9) AS INT) AS bin, count(*) AS n FROM clean_chemo WHERE score_weighted_chemo BETWEEN 0 AND 1 AND NOT isnan(score_weighted_chemo) GROUP BY 1",
     "distance_index": "WITH n AS (SELECT n_nationkey + 1 AS i FROM nation), p AS (SELECT a.i, b.i AS j FROM n a JOIN n b ON a.i < b.i) SELECT i, j, row_number() OVER (ORDER BY i, j) AS place FROM p",
@@ -290,7 +290,7 @@ SQL = {
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
     "json_rows": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "prefix_dispatch_text": "WITH l AS (SELECT name_id, substr(structure_inchikey, 1, 3) || structure_name AS line FROM structures_names) SELECT substr(line, 1, 3) AS prefix, substr(line, 4) AS rest, row_number() OVER (PARTITION BY substr(line, 1, 3) ORDER BY name_id) AS place FROM l WHERE line IS NOT NULL",
-    "mgf_round_trip": f"WITH {_P}, k AS (SELECT vec_id, any_value(label) AS label, count(*) AS n FROM p WHERE v > 1.6 GROUP BY 1 HAVING count(*) >= 2) SELECT vec_id AS feature_id, (SELECT max(len(embedding)) FROM embeddings) + label + 2.0::DOUBLE AS precursor_mz, -1 AS charge, round(label / 2, 6) AS rt, n FROM k",
+    "mgf_round_trip": f"WITH {_P}, k AS (SELECT vec_id, any_value(label) AS label, count(*) AS n FROM p WHERE v > 0.27 GROUP BY 1 HAVING count(*) >= 2) SELECT vec_id AS feature_id, (SELECT max(len(embedding)) FROM embeddings) + label + 2.0::DOUBLE AS precursor_mz, -1 AS charge, round(label / 2, 6) AS rt, n FROM k",
     "sdf_records": "SELECT stereo_id::VARCHAR AS id, regexp_replace(structure_inchikey, '\\s', '', 'g') AS inchikey FROM structures_stereo WHERE structure_name IS NOT NULL AND structure_inchikey IS NOT NULL",
     "mztab_round_trip": f"SELECT feature_id, candidate_adduct AS adduct, 100.5::DOUBLE AS mz FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1",
     "mztab_features": f"WITH b AS (SELECT {LAYER} AS l FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1) SELECT 2.0::DOUBLE AS rt, 100.5::DOUBLE AS mz, count(DISTINCT coalesce(l, '-')) AS n FROM b",

@@ -6,8 +6,10 @@ run on Arrow batches.
 
 from __future__ import annotations
 
+from collections import Counter
 from math import log, sqrt
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,18 +76,25 @@ def sanitize(peaks: Column, dalton: float = 0.01, ppm: float = 10.0) -> Column:
     return clean(peaks)
 
 
-def intensity_cutoff(peaks: Column) -> Column:
+def dynamic_cutoff(intensities: np.ndarray) -> float:
     """Median minus twice the median deviation of the intensities if that is positive, else their 5th percentile."""
-    values = F.array_sort(F.transform(peaks, lambda p: p["intensity"]))
+    middle = np.median(intensities)
+    low = middle - 2 * 1.4826 * np.median(np.abs(intensities - middle))
+    return float(low if low > 0 else np.percentile(intensities, 5))
 
-    def at(a: Column, q: float) -> Column:
-        spot = (F.size(a) - 1) * q
-        low = F.floor(spot).cast("int")
-        return F.get(a, low) + (F.coalesce(F.get(a, low + 1), F.get(a, low)) - F.get(a, low)) * (spot - low)
 
-    middle = at(values, 0.5)
-    deviation = 1.4826 * at(F.array_sort(F.transform(values, lambda v: F.abs(v - middle))), 0.5)
-    return F.when(middle - 2 * deviation > 0, middle - 2 * deviation).otherwise(at(values, 0.05))
+def cleaned_peaks(peaks: Peaks, cutoff: float | None, precursor: float | None, dalton: float) -> Peaks:
+    """Finite positive peaks in order from the cut-off on, without repeated noise values and what lies from the precursor on, scaled to a sum of 1."""
+    kept = sorted((m, i) for m, i in peaks if 0 < m < float("inf") and 0 < i < float("inf"))
+    if not kept:
+        return []
+    limit = dynamic_cutoff(np.array([i for _, i in kept])) if cutoff is None else cutoff
+    kept = [(m, i) for m, i in kept if i >= limit]
+    times = Counter(i for _, i in kept)
+    noise = {i for i in sorted(i for _, i in kept)[:10] if times[i] > 5}
+    kept = [(m, i) for m, i in kept if i not in noise and (precursor is None or m < precursor - dalton)]
+    scale = sum(i for _, i in kept)
+    return [(m, i / scale) for m, i in kept]
 
 
 def clean_spectra(df: DataFrame, peaks: str, cutoff: float | None = None, least: int = 1, precursor: str | None = None, dalton: float = 0.01) -> DataFrame:
@@ -94,16 +103,14 @@ def clean_spectra(df: DataFrame, peaks: str, cutoff: float | None = None, least:
     Peaks below the cut-off (dynamic if none is given) go, as do values that repeat more than five times among the ten
     smallest, and peaks from the precursor on if its column is named. Null spectra are dropped.
     """
-    x = F.col(peaks)
-    df = df.withColumn(peaks, usable_peaks(x)).withColumn("__cut", F.lit(cutoff) if cutoff is not None else intensity_cutoff(x))
-    df = df.withColumn(peaks, F.filter(x, lambda p: p["intensity"] >= F.col("__cut")))
-    smallest = F.slice(F.array_sort(F.transform(x, lambda p: p["intensity"])), 1, 10)
-    noise = F.filter(F.array_distinct(smallest), lambda v: F.size(F.filter(x, lambda p: p["intensity"] == v)) > 5)
-    df = df.withColumn("__noise", noise).withColumn(peaks, F.filter(x, lambda p: ~F.array_contains(F.col("__noise"), p["intensity"])))
-    if precursor:
-        df = df.withColumn(peaks, F.filter(x, lambda p: F.col(precursor).isNull() | (p["mz"] < F.col(precursor) - dalton)))
-    scaled = F.transform(x, lambda p: F.struct(p["mz"].alias("mz"), (p["intensity"] / F.col("__sum")).alias("intensity")))
-    return df.withColumn("__sum", total(x)).withColumn(peaks, scaled).where(F.size(x) >= least).drop("__cut", "__noise", "__sum")
+
+    @F.pandas_udf(PEAKS)
+    def clean(column: pd.Series, end: pd.Series) -> pd.Series:
+        ends = (None if pd.isna(x) else float(x) for x in end)
+        return pd.Series([[{"mz": m, "intensity": i} for m, i in cleaned_peaks(_tuples(x), cutoff, e, dalton)] for x, e in zip(column, ends, strict=True)])
+
+    cleaned = df.where(F.col(peaks).isNotNull()).withColumn(peaks, clean(peaks, F.col(precursor).cast("double") if precursor else F.lit(None).cast("double")))
+    return cleaned.where(F.size(peaks) >= least)
 
 
 def _closest(x: Peaks, y: Peaks, shift: float, dalton: float, ppm: float) -> dict[int, int]:
