@@ -199,7 +199,7 @@ def sdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mztab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of the best candidates, as numbered lines."""
-    best = table(spark, sf_dir, "clean_chemo").where("feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo)").groupBy("feature_id").agg(F.max(F.struct("score_weighted_chemo", F.col("candidate_id").alias("i"), F.col(LAYER).alias("l"), F.col("candidate_structure_name").alias("n"), F.col("candidate_adduct").alias("a"))).alias("b"))
+    best = table(spark, sf_dir, "clean_chemo").where("feature_id IS NOT NULL AND score_weighted_chemo IS NOT NULL AND NOT isnan(score_weighted_chemo)").groupBy("feature_id").agg(F.max(F.struct("score_weighted_chemo", F.col("candidate_id").alias("i"), F.col(LAYER).alias("l"), F.col("candidate_structure_name").alias("n"), F.col("candidate_adduct").alias("a"))).alias("b"))
     results = best.select("feature_id", F.lit(100.5).alias("mz"), F.lit(2.0).alias("rt"), F.col("b.a").alias("adduct"), F.col("b.l").alias("structure"), F.col("b.n").alias("name"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("smiles"), F.col("b.score_weighted_chemo").alias("score"), F.lit(1).alias("rank"))
     tables = mztab_tables(results)
     parts = spark.createDataFrame([(0, 0, "MTD\tmzTab-version\t2.0.0-M"), (0, 1, "MTD title\ttest")], "part int, place int, value string").withColumn("s", F.lit(0))

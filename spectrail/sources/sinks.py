@@ -41,7 +41,7 @@ def mztab_tables(results: DataFrame) -> dict[str, DataFrame]:
     )
     sme = numbered.where("SME_ID IS NOT NULL").select("SME_ID", F.col("feature_id").alias("evidence_input_id"), F.col("structure").alias("database_identifier"), F.col("formula").alias("chemical_formula"), "smiles", F.col("name").alias("chemical_name"), F.col("adduct").alias("adduct_ion"), F.col("mz").alias("exp_mass_to_charge"), "score", "rank")
     sml = numbered.where("rank = 1 OR structure IS NULL").groupBy("structure").agg(
-        F.array_join(F.array_sort(F.collect_set("SMF_ID")), "|").alias("SMF_ID_REFS"), F.min("formula").alias("chemical_formula"), F.min("name").alias("chemical_name"), F.max("score").alias("best_id_confidence_value")
+        F.array_join(F.array_sort(F.collect_set("SMF_ID")), "|").alias("SMF_ID_REFS"), F.array_join(F.array_sort(F.collect_set("adduct")), "|").alias("adduct_ions"), F.min("formula").alias("chemical_formula"), F.min("name").alias("chemical_name"), F.max("score").alias("best_id_confidence_value")
     )
     sml = sml.withColumn("SML_ID", F.row_number().over(Window.orderBy(F.col("structure").asc_nulls_last())))
     return {"sml": sml.select("SML_ID", *[c for c in sml.columns if c != "SML_ID"]), "smf": smf, "sme": sme}

@@ -157,7 +157,7 @@ def mztab_features(tables: dict[str, DataFrame]) -> DataFrame:
     sml = tables["sml"]
     if sml.isEmpty():
         return smf.withColumnRenamed("ref", "feature_id")
-    first = sml.select(F.col("SML_ID").alias("feature_id"), F.split("SMF_ID_REFS", r"\s*\|\s*")[0].alias("ref"), F.split("adduct_ions", r"\s*\|\s*")[0].alias("own_adduct"))
+    first = sml.select(F.col("SML_ID").alias("feature_id"), F.split("SMF_ID_REFS", r"\s*\|\s*")[0].alias("ref"), (F.split("adduct_ions", r"\s*\|\s*")[0] if "adduct_ions" in sml.columns else F.lit(None).cast("string")).alias("own_adduct"))
     return first.join(smf, "ref", "left").select("feature_id", "rt", "mz", F.coalesce("own_adduct", "adduct").alias("adduct"))
 
 
