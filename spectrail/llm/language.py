@@ -15,6 +15,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -141,36 +142,41 @@ class Model:
 
 
 class Evidence(dict):
-    """Maps a written word to a row of the cost matrix: excess phrases per language, cost outside all, whether a language knows it, phrases per language."""
+    """Maps a written word to a row of the cost matrix (0: no evidence): excess phrases per language, cost outside all, whether a language knows it, phrases per language."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
-        self.model, self.rows = model, [np.zeros(2 * len(CODES) + 2, np.float32)]
+        self.model, self.rows, self.used = model, np.zeros((1 << 14, 2 * len(CODES) + 2), np.float32), 1
 
     def __missing__(self, word: str) -> int:
-        row = np.zeros(2 * len(CODES) + 2, np.float32)
+        m = len(CODES)
+        row = [0.0] * (2 * m + 2)
         for piece in letter_pieces(word):
-            n = np.array(self.model.phrases(piece), np.float32)
-            known = n.min() == 1
-            row[: len(CODES)] += np.minimum(n - n.min(), MOST) if known else UNKNOWN * np.minimum(n - n.min(), MOST)
-            row[len(CODES)] += OUTSIDE if known else 0
-            row[len(CODES) + 1] = max(row[len(CODES) + 1], known)
-            row[len(CODES) + 2 :] += n
-        if row[len(CODES)] or row[: len(CODES)].any():
-            self[word] = len(self.rows)
-            self.rows.append(row)
-        else:
-            self[word] = 0
+            phrases = self.model.phrases(piece)
+            least = min(phrases)
+            weight = 1.0 if least == 1 else UNKNOWN
+            for k, n in enumerate(phrases):
+                row[k] += weight * min(n - least, MOST)
+                row[m + 2 + k] += n
+            if least == 1:
+                row[m] += OUTSIDE
+                row[m + 1] = 1.0
+        self[word] = self.used if row[m] or any(row[:m]) else 0
+        if self[word]:
+            if self.used == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.used] = row
+            self.used += 1
         return self[word]
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of all words of the texts, one after the other, and where each text begins."""
+        """The row number of each word of the texts, one after the other, and where each text begins."""
         lists = [written_words(t) for t in texts]
-        if len(self.rows) > REMEMBERED:
+        if self.used > REMEMBERED:
             self.clear()
-            self.rows = self.rows[:1]
-        numbers = np.concatenate([np.fromiter(map(self.__getitem__, x), np.int64, len(x)) for x in lists] or [np.zeros(0, np.int64)])
-        return np.stack(self.rows)[numbers] if len(numbers) < len(self.rows) else np.array(self.rows)[numbers], np.r_[0, np.cumsum([len(x) for x in lists])]
+            self.used = 1
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
+        return numbers, np.r_[0, np.cumsum([len(x) for x in lists])]
 
 
 def _states(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -221,20 +227,23 @@ def _states(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def segments_of(evidence: Evidence, texts: list[str | None]) -> Iterator[tuple[int, str, int, int, float]]:
     """(document, language, first word, words, confidence) of each run of RUN_WORDS or more words in one language."""
     m = len(CODES)
-    rows, starts = evidence.of(texts)
-    if not len(rows):
+    numbers, starts = evidence.of(texts)
+    place = np.flatnonzero(numbers)  # of the words that bear evidence; the others only count
+    if not len(place):
         return
-    states = _states(rows[:, : m + 1], starts)
-    owner = np.repeat(np.arange(len(texts)), np.diff(starts))
+    rows, inner = evidence.rows[numbers[place]], np.searchsorted(place, starts)
+    states = _states(rows[:, : m + 1], inner)
+    owner = np.repeat(np.arange(len(texts)), np.diff(inner))
     at = np.flatnonzero((rows[:, m + 1] > 0) & (states < m))  # known words in a language
     if not len(at):
         return
-    new = np.r_[True, (np.diff(owner[at]) != 0) | (np.diff(states[at]) != 0) | (np.diff(at) > GAP_WORDS)]
+    where = place[at]
+    new = np.r_[True, (np.diff(owner[at]) != 0) | (np.diff(states[at]) != 0) | (np.diff(where) > GAP_WORDS)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1
     own = np.r_[0, np.cumsum(rows[at, states[at]] == 0)]
     held = own[last + 1] - own[first]
-    long = np.flatnonzero((at[last] - at[first] + 1 >= RUN_WORDS) & (held >= KNOWN_WORDS) & (held >= KNOWN_SHARE * (last - first + 1)))
+    long = np.flatnonzero((where[last] - where[first] + 1 >= RUN_WORDS) & (held >= KNOWN_WORDS) & (held >= KNOWN_SHARE * (last - first + 1)))
     if not len(long):
         return
     sums = np.vstack([np.zeros((1, m)), np.cumsum(rows[:, m + 2 :], axis=0, dtype=np.float64)])
@@ -244,7 +253,7 @@ def segments_of(evidence: Evidence, texts: list[str | None]) -> Iterator[tuple[i
         phrases = sums[b] - sums[a]
         sure = 1 - phrases[lang] / np.delete(phrases, lang).min()
         if sure >= LEAST_CONFIDENCE:
-            yield int(owner[a]), CODES[lang], int(a - starts[owner[a]]), int(b - a), float(sure)
+            yield int(owner[a]), CODES[lang], int(where[first[s]] - starts[owner[a]]), int(where[last[s]] - where[first[s]] + 1), float(sure)
 
 
 def label_code(label: Column) -> Column:
