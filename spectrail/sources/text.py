@@ -16,7 +16,7 @@ from spectrail.functions.scalars import NULL_TEXTS
 
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, columns: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
     """All-string table from a CSV or TSV file (gzip by its name), marks for null read as null; only the wanted columns are kept."""
-    separator = separator or (",") if ".csv" in path else separator or "\t"
+    separator = separator or ("," if ".csv" in path else "\t")
     df = spark.read.csv(path, sep=separator, header=True, inferSchema=False, nullValue="", enforceSchema=False)
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
