@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES and SQL, in the order in which their queries are registered.
-MODULES = ("records", "joins", "scores", "library", "ions", "pipelines")
+MODULES = ("records", "joins", "scores", "library", "ions", "inputs", "pipelines")
 
 
 def collect() -> tuple[dict, dict]:
