@@ -13,7 +13,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
+from math import ceil
 
 import ahocorasick
 import pyarrow as pa
@@ -30,6 +30,10 @@ QUALIFIERS = frozenset("cf aff x sp spp species indet subsp ssp var ex nr".split
 MISREAD = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "8": "b"})
 #: Letters of a word that may be wrong, as a part of its length and at most; a word shorter than SHORT must agree.
 WRONG_PART, WRONG_MOST, SHORT = 0.25, 3, 5
+#: Letters that may be wrong in a whole name written as one word.
+JOINED_WRONG = 2
+#: Distinct values that one task matches: matching costs far more than its few bytes suggest.
+VALUES_A_TASK = 20_000
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^]]*\]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -67,17 +71,24 @@ def allowed(word: str) -> int:
 
 
 def _deletions(word: str, most: int) -> set[str]:
-    return {"".join(c for k, c in enumerate(word) if k not in gone) for n in range(most + 1) for gone in combinations(range(len(word)), n)}
+    """The word and all that is left of it after deleting up to `most` letters."""
+    found, last = {word}, {word}
+    for _ in range(most):
+        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
+        found |= last
+    return found
 
 
 class SimilarWords:
     """Finds the words of a list within the allowed number of edits of a given one: such words share a string of both by deletions."""
 
-    def __init__(self, words: set[str]) -> None:
+    def __init__(self, words: set[str], wrong_most: int = WRONG_MOST) -> None:
         self.index: dict[str, list[str]] = defaultdict(list)
+        self.wrong_most = wrong_most
         for w in sorted(words):
-            for d in _deletions(w, allowed(w)):
+            for d in _deletions(w, min(allowed(w), wrong_most)):
                 self.index[d].append(w)
+        self.lengths = range(max(SHORT, min(map(len, words), default=0) - WRONG_MOST), max(map(len, words), default=0) + WRONG_MOST + 1)
         self.known: dict[str, dict[str, int]] = {}
 
     def of(self, word: str) -> dict[str, int]:
@@ -85,8 +96,10 @@ class SimilarWords:
         if word not in self.known:
             if len(self.known) > 100_000:
                 self.known.clear()
-            near = {w for d in _deletions(word, WRONG_MOST) for w in self.index.get(d, ())} if SHORT <= len(word) < 40 else {word} & self.index.keys()
-            self.known[word] = {w: n for w in near if (n := edits(word, w, allowed(w))) <= allowed(w)}
+            # A word may lose as many letters as the longest one that it could stand for.
+            most = min(allowed(word + "x" * WRONG_MOST), self.wrong_most)
+            near = {w for d in _deletions(word, most) for w in self.index.get(d, ())} if len(word) in self.lengths else {word} & self.index.keys()
+            self.known[word] = {w: n for w in near if (n := edits(word, w, self.wrong_most)) <= min(allowed(w), self.wrong_most)}
         return self.known[word]
 
 
@@ -116,7 +129,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.aliases = bool(aliases)
         self.genera, self.epithets = SimilarWords({g for g, _ in self.names}), SimilarWords({e for _, e in self.names})
-        self.joined = SimilarWords({g + e for g, e in self.names})
+        self.joined = SimilarWords({g + e for g, e in self.names}, JOINED_WRONG)
         self.parts = {g + e: (g, e) for g, e in self.names}
 
     def mention(self, words: list[str]) -> tuple[int, float] | None:
@@ -191,6 +204,7 @@ def match_names(df: DataFrame, row_id: str, value: str, canon: DataFrame, ref_id
             refs, ways, sure = zip(*[matcher.match(v) for v in batch.column(0).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(refs, pa.int64()), pa.array(ways, pa.string()), pa.array(sure, pa.float64())], names=["v", "ref", "way", "similarity"])
 
-    matched = cut(counts.select("v").mapInArrow(scan, "v string, ref long, way string, similarity double"))
+    tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, ceil(counts.count() / VALUES_A_TASK))
+    matched = cut(counts.select("v").repartition(tasks).mapInArrow(scan, "v string, ref long, way string, similarity double"))
     found = salted_join(rows, matched, ["v"], hot_keys(counts, ["v"], "n", hot_rows), F.col("i").cast("int"))
     return found.select(F.col("i").alias(row_id), F.col("v").alias(value), F.col("ref").alias(ref_id), "way", "similarity")
