@@ -106,18 +106,18 @@ def _scored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select(F.col("feature_id").alias("g"), F.col(_LAYER).alias("item"), *_SCORES)
 
 
+def p5_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structure of a feature with its place in the one ranking, by robust rank aggregation over the whole tables."""
+    ranked = rank_items(_scored_items(spark, sf_dir), _SCORES)[0]
+    return ranked.select(F.col("g").alias("feature_id"), F.col("item").alias(_LAYER), F.round("rho", 6).alias("rho"), F.col("rank").cast("long").alias("place"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features' undisputed firsts."""
     firsts = undisputed_firsts(_scored_items(spark, sf_dir), _SCORES)
     return firsts.select(F.col("g").alias("feature_id"), F.col("item").alias(_LAYER))
 
 
-def p5_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every structure of a feature with its place in the one ranking."""
-    ranked = rank_items(_scored_items(spark, sf_dir), _SCORES)[0]
-    return ranked.select(F.col("g").alias("feature_id"), F.col("item").alias(_LAYER), F.round("rho", 6).alias("rho"), F.col("rank").cast("long").alias("place"))
-
-
 _P5 = f"""
 WITH c AS (SELECT feature_id AS f, {_LAYER} AS l, max(score_weighted_chemo) FILTER (NOT isnan(score_weighted_chemo)) AS s1,
     max(candidate_score_pseudo_initial) FILTER (NOT isnan(candidate_score_pseudo_initial)) AS s2 FROM clean_chemo WHERE feature_id IS NOT NULL GROUP BY 1, 2),
@@ -125,7 +125,7 @@ b AS (SELECT feature_id AS f, {_LAYER} AS l, max(score_biological) FILTER (NOT i
 i AS (SELECT c.f, c.l, coalesce(s1, '-infinity'::DOUBLE) AS s1, coalesce(s2, '-infinity'::DOUBLE) AS s2, coalesce(s3, '-infinity'::DOUBLE) AS s3
   FROM c LEFT JOIN b ON c.f = b.f AND c.l IS NOT DISTINCT FROM b.l)
 """
-_P5_RANKED = (
+_P5_METHOD = (
     _P5
     + f"""
 , r AS (SELECT f, l, list_sort([
@@ -214,8 +214,8 @@ QUERIES = {
     "p3_sizes": p3_sizes,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p5_method": p5_method,
     "p5_found": p5_found,
-    "p5_ranked": p5_ranked,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_matches": p7_matches,
@@ -234,6 +234,6 @@ SQL = {
     "p5_found": _P5
     + f"""SELECT a.f AS feature_id, a.l AS {_LAYER} FROM i a JOIN i o ON a.f = o.f AND a.l IS DISTINCT FROM o.l
 GROUP BY 1, 2 HAVING bool_and((CAST(a.s1 > o.s1 AS INT) + CAST(a.s2 > o.s2 AS INT) + CAST(a.s3 > o.s3 AS INT)) >= 2)""",
-    "p5_ranked": _P5_RANKED,
+    "p5_method": _P5_METHOD,
     "p6_found": _P6,
 }
