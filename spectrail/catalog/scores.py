@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import pseudo_initial, score_to_reliability, sigmoid, weighted_sum
-from spectrail.operators.graph import communities, connected_components, consistent_masses, consistent_pairs, edge_weights, peer_support, top_neighbours
+from spectrail.operators.graph import assigned_states, communities, connected_components, consistent_masses, consistent_pairs, edge_weights, edges_in_state, peer_support, top_neighbours
 from spectrail.operators.masses import agreeing_annotations, competing_labels, component_masses, node_hypotheses, output_edges, propagate_in_components, prune_by_support, with_support
 from spectrail.operators.intervals import Tolerance
 from spectrail.operators.scoring import (
@@ -61,6 +61,12 @@ def community_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities(_mass_edges(spark, sf_dir).withColumn("w", 1 / (1 + F.col("delta"))), "feature_id", "feature_id_dest", "w")
 
 
+def state_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that agree once each feature has one adduct."""
+    rows = table(spark, sf_dir, "annotate_masses_hypothesis").select("hypothesis_id", "feature_id", "adduct", "feature_id_dest", "adduct_dest", (1 / (1 + F.col("delta"))).alias("weight"))
+    return edges_in_state(rows, assigned_states(rows)).select("hypothesis_id", "feature_id", "feature_id_dest")
+
+
 def hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hypothesis per feature and adduct with its support, unsupported ones dropped beside supported ones."""
     rows = table(spark, sf_dir, "annotate_masses_hypothesis").where("feature_id IS NOT NULL AND adduct IS NOT NULL")
@@ -240,6 +246,7 @@ QUERIES = {
     "top_neighbours": best_neighbours,
     "edge_weights": weights_of_edges,
     "communities": community_detection,
+    "state_assignment": state_assignment,
     "node_hypotheses": hypotheses,
     "competing_modifiers": competing_modifiers,
     "edge_agreement": edge_agreement,

@@ -166,3 +166,48 @@ def consistent_masses(edges: DataFrame, mass: str, ppm: float, dalton: float, ro
             break
         n = left
     return state
+
+
+def assigned_states(edges: DataFrame, rounds: int = 20, prior: float = 0.01) -> DataFrame:
+    """One adduct per feature that makes as much weight of edges agree as possible: (feature, state).
+
+    edges: feature_id, adduct, feature_id_dest, adduct_dest, weight. A state's score is the weight of the feature's edges
+    whose both adducts hold, plus a small prior for each edge that names it; among equals the shorter text wins, then the
+    first by name. In each round a feature changes to its best state if it gains more than all its neighbours would, so
+    no two neighbours change at once and the total never falls; a round is joins and aggregations, and no component is
+    brought into one task. Edges with a null end or adduct count for nothing.
+    """
+    known = edges.dropna(subset=["feature_id", "adduct", "feature_id_dest", "adduct_dest"]).where("feature_id <> feature_id_dest")
+    there = known.select(F.col("feature_id").alias("n"), F.col("adduct").alias("a"), F.col("feature_id_dest").alias("m"), F.col("adduct_dest").alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w"))
+    back = there.select(F.col("m").alias("n"), F.col("b").alias("a"), F.col("n").alias("m"), F.col("a").alias("b"), "w")
+    ends = cut(there.unionByName(back))
+    priors = cut(ends.groupBy("n", "a").agg((F.count("*") * prior).alias("p")))
+
+    def best(scores: DataFrame) -> DataFrame:
+        return scores.groupBy("n").agg(F.min(F.struct((-F.col("s")).alias("s"), F.length("a").alias("k"), "a")).alias("x")).select("n", F.col("x.a").alias("best"), (-F.col("x.s")).alias("top"))
+
+    state = cut(best(priors.withColumnRenamed("p", "s")).select("n", F.col("best").alias("state")))
+    near = ends.select("n", "m").distinct()
+    for _ in range(rounds):
+        other = state.select(F.col("n").alias("m"), F.col("state").alias("b"))
+        agreed = ends.join(other, ["m", "b"], "left_semi").groupBy("n", "a").agg(F.sum("w").alias("v"))
+        scores = priors.join(agreed, ["n", "a"], "left").select("n", "a", F.round(F.col("p") + F.coalesce("v", F.lit(0.0)), 9).alias("s"))
+        own = state.join(scores.withColumnRenamed("a", "state").withColumnRenamed("s", "now"), ["n", "state"])
+        gains = cut(own.join(best(scores), "n").withColumn("gain", F.col("top") - F.col("now")))
+        willing = gains.where("gain > 0").select("n", "gain")
+        if willing.isEmpty():
+            break
+        rivals = near.join(willing.select(F.col("n").alias("m"), F.col("gain").alias("g")), "m").groupBy("n").agg(F.max(F.struct("g", "m")).alias("r"))
+        moves = willing.join(rivals, "n", "left").where("r IS NULL OR gain > r.g OR (gain = r.g AND n > r.m)").select("n", F.lit(True).alias("move"))
+        state = cut(gains.join(moves, "n", "left").select("n", F.when(F.col("move"), F.col("best")).otherwise(F.col("state")).alias("state")))
+    return state.select(F.col("n").alias("feature"), "state")
+
+
+def edges_in_state(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """Edges whose both adducts are their features' states, the heaviest of each pair."""
+    from spectrail.operators.keys import first_row
+
+    a = states.select(F.col("feature").alias("feature_id"), F.col("state").alias("adduct"))
+    b = states.select(F.col("feature").alias("feature_id_dest"), F.col("state").alias("adduct_dest"))
+    kept = edges.join(a, ["feature_id", "adduct"], "left_semi").join(b, ["feature_id_dest", "adduct_dest"], "left_semi")
+    return first_row(kept, ["feature_id", "feature_id_dest"], [F.col("weight").desc_nulls_last(), F.asc("adduct"), F.asc("adduct_dest")])

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from spectrail.functions.scalars import chemont_id, collapse_names, pseudo_initial, reliability_to_score, sigmoid, weighted_sum
 from spectrail.functions.special import incomplete_beta
 from spectrail.operators.features import intensity_columns, normalize_rt, top_samples
-from spectrail.operators.graph import connected_components, consistent_pairs, louvain, peer_support
+from spectrail.operators.graph import assigned_states, connected_components, consistent_pairs, edges_in_state, louvain, peer_support
 from spectrail.operators.intervals import Tolerance, gap_cluster, nearest_join, range_join
 from spectrail.operators.keys import conform, first_row, null_safe_join
 from spectrail.operators.scoring import cap_ties, cluster_consensus, filter_ms1, high_evidence, rank_candidates
@@ -100,6 +100,23 @@ def test_support_and_consistency(spark, rows):
     assert rows(consistent_pairs(e), "feature_id", "adduct", "adduct_dest") == [("1", "H", "K"), ("1", "H", "Na")]
 
 
+def test_states_agree_as_far_as_they_can(spark):
+    rng = random.Random(8)
+    edges = [(f"f{rng.randrange(8)}", rng.choice("HNK"), f"f{rng.randrange(8)}", rng.choice("HNK"), float(rng.randrange(1, 5))) for _ in range(40)] + [("f0", None, "f1", "H", 1.0)]
+    df = spark.createDataFrame(edges, "feature_id string, adduct string, feature_id_dest string, adduct_dest string, weight double")
+    state = {r.feature: r.state for r in assigned_states(df).collect()}
+    full = [e for e in edges if e[1] and e[0] != e[2]]
+
+    def score(s, n):
+        mine = [(a, m, b, w) for x, a, m, b, w in full if x == n] + [(b, x, a, w) for x, a, m, b, w in full if m == n]
+        return sum(w * (a == s and state[m] == b) + 0.01 * (a == s) for a, m, b, w in mine)
+
+    for n in state:
+        assert score(state[n], n) >= max(score(s, n) for s in "HNK") - 1e-6
+    kept = edges_in_state(df, assigned_states(df)).collect()
+    assert all(state[r.feature_id] == r.adduct and state[r.feature_id_dest] == r.adduct_dest for r in kept)
+
+
 def test_louvain_splits_two_cliques():
     pairs = [(a, b, 1.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.1)]
     found = louvain(pairs)
