@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,13 @@ def template_word(word: str) -> str:
     return "<name>" if _NAME.fullmatch(word) else word
 
 
+def _bare(text: str) -> str:
+    """A text without tags, its character references resolved."""
+    if "<" in text:
+        text = _MARKUP.sub("", text)
+    return unescape(text) if "&" in text else text
+
+
 class Words(dict):
     """Maps a written word to a number; arrays give the hashes of the canonical word and of its template (0: no word)."""
 
@@ -77,7 +85,7 @@ class Words(dict):
 
     def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Canonical hashes and template hashes of all words of the texts, one after the other, and each word's text."""
-        lists = [(_MARKUP.sub("", t) if "<" in t else t).split() if t else [] for t in texts]
+        lists = [_bare(t).split() if t else [] for t in texts]
         numbers = np.concatenate([np.fromiter(map(self.__getitem__, x), np.int64, len(x)) for x in lists] or [np.zeros(0, np.int64)])
         owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         kept = numbers > 0

@@ -117,10 +117,11 @@ def test_fewest_edits():
 def test_reparameterised_and_table(spark):
     item = "How many grams of kelosine must the analyst add to 40 ml before the peak at 12 appears"
     other = item.replace("kelosine", "marfosine").replace("40", "55").replace("12", "31")
-    docs = spark.createDataFrame([(1, f"intro {item} end", "z"), (2, f"intro {other} end", "z"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, kind string")
+    marked = item.replace(" ", "&nbsp;", 3).replace("grams", "<i>GRÁMS</i>").replace(" must", " &amp; must")
+    docs = spark.createDataFrame([(1, f"intro {item} end", "z"), (5, marked, "z"), (2, f"intro {other} end", "z"), (3, None, "z"), (4, "", "z")], "doc_id long, text string, kind string")
     items = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.kind for r in find_leaks(docs, "doc_id", "text", items, "item_id", "text").collect()}
-    assert got == {(1, 7): "exact", (2, 7): "reparameterised"}
+    assert got == {(1, 7): "exact", (5, 7): "exact", (2, 7): "reparameterised"}
     assert find_leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
