@@ -30,8 +30,6 @@ QUALIFIERS = frozenset("cf aff x sp spp species indet subsp ssp var ex nr".split
 MISREAD = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "8": "b"})
 #: Letters of a word that may be wrong, as a part of its length and at most; a word shorter than SHORT must agree.
 WRONG_PART, WRONG_MOST, SHORT = 0.25, 3, 5
-#: Letters that may be wrong in a whole name written as one word.
-JOINED_WRONG = 2
 #: Distinct values that one task matches: matching costs far more than its few bytes suggest.
 VALUES_A_TASK = 20_000
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^]]*\]")
@@ -82,11 +80,10 @@ def _deletions(word: str, most: int) -> set[str]:
 class SimilarWords:
     """Finds the words of a list within the allowed number of edits of a given one: such words share a string of both by deletions."""
 
-    def __init__(self, words: set[str], wrong_most: int = WRONG_MOST) -> None:
+    def __init__(self, words: set[str]) -> None:
         self.index: dict[str, list[str]] = defaultdict(list)
-        self.wrong_most = wrong_most
         for w in sorted(words):
-            for d in _deletions(w, min(allowed(w), wrong_most)):
+            for d in _deletions(w, allowed(w)):
                 self.index[d].append(w)
         self.lengths = range(max(SHORT, min(map(len, words), default=0) - WRONG_MOST), max(map(len, words), default=0) + WRONG_MOST + 1)
         self.known: dict[str, dict[str, int]] = {}
@@ -97,9 +94,9 @@ class SimilarWords:
             if len(self.known) > 100_000:
                 self.known.clear()
             # A word may lose as many letters as the longest one that it could stand for.
-            most = min(allowed(word + "x" * WRONG_MOST), self.wrong_most)
+            most = allowed(word + "x" * WRONG_MOST)
             near = {w for d in _deletions(word, most) for w in self.index.get(d, ())} if len(word) in self.lengths else {word} & self.index.keys()
-            self.known[word] = {w: n for w in near if (n := edits(word, w, self.wrong_most)) <= min(allowed(w), self.wrong_most)}
+            self.known[word] = {w: n for w in near if (n := edits(word, w, allowed(w))) <= allowed(w)}
         return self.known[word]
 
 
@@ -129,7 +126,7 @@ class Matcher:
             self.automaton.make_automaton()
         self.aliases = bool(aliases)
         self.genera, self.epithets = SimilarWords({g for g, _ in self.names}), SimilarWords({e for _, e in self.names})
-        self.joined = SimilarWords({g + e for g, e in self.names}, JOINED_WRONG)
+        self.joined = SimilarWords({g + e for g, e in self.names})
         self.parts = {g + e: (g, e) for g, e in self.names}
 
     def mention(self, words: list[str]) -> tuple[int, float] | None:

@@ -27,6 +27,15 @@ def test_names(value, ref):
     assert Matcher(REFERENCE).match(value)[0] == ref
 
 
+def test_joined_names_may_be_wrong_as_far_as_words():
+    matcher = Matcher(REFERENCE)
+    for joined in ("Cirus vulgarifromes", "Cirrsu vulgrifromis", "Alpima rubrifolla"):
+        assert matcher.match(joined)[0] == matcher.match(joined.replace(" ", "").lower())[0] > 0
+    for value in ("cirusvulgarifromes", "cirrsuvulgrifromis", "alpimarubrfolla"):
+        assert matcher.match(value)[0] > 0
+    assert matcher.match("cirvulgaifroms")[0] == -1
+
+
 def test_name_parts():
     assert tokens("Álpina cf. ru8ra 12") == ["alpina", "rubra"]
     assert edits("abcd", "abdc", 2) == 1 and edits("abc", "xyz", 2) == 3
