@@ -45,7 +45,7 @@ LEAST_DOCS, LEAST_SHARE, OTHER_SHARE = 3, 0.008, 0.2
 RUN_WORDS = 8
 #: Phrases that a change of language costs; cost of a known word outside all languages; weight of a word that no language knows; phrases that one word can cost.
 CHANGE, OUTSIDE, UNKNOWN, MOST = 3.0, 0.75, 0.15, 3.0
-#: Words without evidence (numbers, names, formulas) that end a run if so many follow one another; words of a run that its language must know whole, at least and as a share of those that any language knows; least confidence of a run.
+#: Words without evidence (numbers, names, formulas) that end a run if so many follow one another; words of a run that no other language may have in fewer phrases, at least, and that its language must know whole, as a share of those that any language knows; least confidence of a run.
 GAP_WORDS, KNOWN_WORDS, KNOWN_SHARE, LEAST_CONFIDENCE = 10, 4, 0.6, 0.15
 #: Documents that a worker holds as arrays at once, and words it remembers before it starts anew.
 DOCS_AT_ONCE, REMEMBERED = 500, 500_000
@@ -237,23 +237,30 @@ def segments_of(evidence: Evidence, texts: list[str | None]) -> Iterator[tuple[i
     at = np.flatnonzero((rows[:, m + 1] > 0) & (states < m))  # known words in a language
     if not len(at):
         return
-    where = place[at]
-    new = np.r_[True, (np.diff(owner[at]) != 0) | (np.diff(states[at]) != 0) | (np.diff(where) > GAP_WORDS)]
+    # Stretches of adjacent words, known or not, that no other language has in fewer phrases than the one they are in.
+    fits = (states < m) & (rows[np.arange(len(rows)), states] == 0)
+    begins = np.r_[True, (np.diff(owner) != 0) | (np.diff(states) != 0) | (np.diff(place) != 1) | ~(fits[1:] & fits[:-1])]
+    edge = np.flatnonzero(begins)
+    stretch = np.cumsum(begins) - 1
+    end = np.r_[edge[1:], len(rows)] - 1
+    new = np.r_[True, (np.diff(owner[at]) != 0) | (np.diff(states[at]) != 0) | ((np.diff(place[at]) > GAP_WORDS) & (np.diff(stretch[at]) != 0))]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(at)] - 1
+    low, high = edge[stretch[at[first]]], end[stretch[at[last]]]  # a run goes on over fitting words beside its first and last known one
     own = np.r_[0, np.cumsum(rows[at, states[at]] == 0)]
     held = own[last + 1] - own[first]
-    long = np.flatnonzero((where[last] - where[first] + 1 >= RUN_WORDS) & (held >= KNOWN_WORDS) & (held >= KNOWN_SHARE * (last - first + 1)))
+    fit = np.r_[0, np.cumsum(fits)]
+    long = np.flatnonzero((place[high] - place[low] + 1 >= RUN_WORDS) & (fit[high + 1] - fit[low] >= KNOWN_WORDS) & (held >= KNOWN_SHARE * (last - first + 1)))
     if not len(long):
         return
     sums = np.vstack([np.zeros((1, m)), np.cumsum(rows[:, m + 2 :], axis=0, dtype=np.float64)])
     for s in long:
-        a, b = at[first[s]], at[last[s]] + 1
+        a, b = low[s], high[s] + 1
         lang = int(states[a])
         phrases = sums[b] - sums[a]
         sure = 1 - phrases[lang] / np.delete(phrases, lang).min()
         if sure >= LEAST_CONFIDENCE:
-            yield int(owner[a]), CODES[lang], int(where[first[s]] - starts[owner[a]]), int(where[last[s]] - where[first[s]] + 1), float(sure)
+            yield int(owner[a]), CODES[lang], int(place[a] - starts[owner[a]]), int(place[b - 1] - place[a] + 1), float(sure)
 
 
 def label_code(label: Column) -> Column:

@@ -181,6 +181,17 @@ def test_held_out_sentences_are_told_apart():
     assert len(model.automata) == len(CODES)
 
 
+def test_unlisted_words_count_within_and_beside_a_run():
+    evidence = Evidence(Model(_sample()))
+    beside = f"{SENTENCES['fr'][0]} rechecked the result of this sample was stored weekend"
+    few = "foundered recordings were withholding the sampled checked otherwise"
+    found = {(doc, code): (first, n) for doc, code, first, n, _ in segments_of(evidence, [beside, few, "rechecked the result of this sample was 12 Alpina"])}
+    start = len(SENTENCES["fr"][0].split())
+    assert found[0, "en"] == (start, 9)
+    assert found[1, "en"] == (0, 8)
+    assert not any(doc == 2 for doc, _ in found)
+
+
 def test_labels_and_table(spark):
     labels = [("en-GB", "en"), (" German ", "de"), ("FRE", "fr"), ("pt_BR", "pt"), ("und", None), ("", None), (None, None), ("rus", "ru")]
     got = spark.createDataFrame(labels, "label string, want string")
