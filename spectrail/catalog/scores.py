@@ -39,10 +39,15 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mass_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges whose mass agrees with both features' medians, after the first round and at the end."""
+    """Edges whose mass agrees with both features' medians over all edges: the first round alone, as its SQL has it."""
     return consistent_masses(_mass_edges(spark, sf_dir), "delta", 0.0, 60.0, rounds=1).select("hypothesis_id")
 
 
+def mass_consistency_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges whose mass agrees with both features' medians over the edges that are left, in as many rounds as the operator has."""
+    return consistent_masses(_mass_edges(spark, sf_dir), "delta", 0.0, 60.0).select("hypothesis_id")
+
+
 def mass_of_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = component_masses(_mass_edges(spark, sf_dir), "delta")
     return found.select("component", F.round("mass", 6).alias("mass"))
@@ -242,6 +247,7 @@ QUERIES = {
     "pair_consistency_filter": pair_consistency_filter,
     "connected_components": components,
     "mass_consistency": mass_consistency,
+    "mass_consistency_stable": mass_consistency_stable,
     "component_masses": mass_of_components,
     "top_neighbours": best_neighbours,
     "edge_weights": weights_of_edges,

@@ -117,6 +117,29 @@ def test_states_agree_as_far_as_they_can(spark):
     assert all(state[r.feature_id] == r.adduct and state[r.feature_id_dest] == r.adduct_dest for r in kept)
 
 
+def test_stable_mass_consistency_equals_brute_force(spark, rows, tmp_path):
+    from statistics import median
+
+    from spectrail.catalog import collect
+
+    rng = random.Random(9)
+    data = [(i, f"f{rng.randrange(25)}", "H", f"f{rng.randrange(25)}", float(1 + rng.randrange(200))) for i in range(90)] + [(900, None, "H", "f1", 5.0), (901, "f1", "H", "f2", None)]
+    spark.createDataFrame(data, "hypothesis_id long, feature_id string, adduct string, feature_id_dest string, delta double").write.parquet(f"{tmp_path}/annotate_masses_hypothesis.parquet")
+    left = [e for e in data if e[1] and e[4] is not None]
+    sizes = [len(left)]
+    for _ in range(10):
+        held: dict = {}
+        for _, a, _, b, d in left:
+            held.setdefault(a, []).append(d)
+            held.setdefault(b, []).append(d)
+        left = [e for e in left if abs(e[4] - median(held[e[1]])) <= 60 and abs(e[4] - median(held[e[3]])) <= 60]
+        sizes.append(len(left))
+    queries = collect()[0]
+    assert sizes[-1] == sizes[-2] < sizes[2] < sizes[1]
+    assert rows(queries["mass_consistency_stable"](spark, str(tmp_path))) == sorted(((e[0],) for e in left), key=repr)
+    assert queries["mass_consistency"](spark, str(tmp_path)).count() == sizes[1]
+
+
 def test_louvain_splits_two_cliques():
     pairs = [(a, b, 1.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.1)]
     found = louvain(pairs)
