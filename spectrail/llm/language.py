@@ -1,11 +1,15 @@
 """Languages of documents and of their segments, by cross-parsing entropy.
 
-For each language a suffix automaton is built over labelled text. A word is parsed against it into longest matches; the
-language whose text it shares needs fewest phrases. A segment's cost in a language is the number of phrases beyond those
-of the best language, so over any stretch the language with the fewest phrases (which all languages are normalised to the
-same characters) wins; a change of language costs a fixed number of phrases, which sets the borders of segments.
+For each language a suffix automaton is built over running text that is labelled with it. A text is parsed against each
+automaton from left to right, across words, into longest matches (phrases); phrases times the logarithm of the automaton's
+text size is the text's cost in the language, and the language with the least cost wins. For mixed texts the same holds of
+every segment: words are cut into segments of one language, or none, so that the total cost is least; a border costs a
+fixed number of phrases, and letters outside all languages cost what phrases of NONE_LETTERS letters would.
 
-Phrases end at word ends, so each worker parses a distinct word once and documents become rows of a small matrix.
+Labels may be wrong and texts may be mixed, so the labelled sample is cleaned first: a piece of it is kept only if its
+letter sequences are much more widely shared by the sampled documents of its label than by those of any other one.
+
+The automata step through many texts and all languages at once, as one array lookup a letter.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -37,71 +42,52 @@ LANGUAGES = {
     "ru": ["ru", "rus", "russian"],
 }
 CODES = list(LANGUAGES)
-#: The sample that the classifier is fitted on: labelled documents per language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 300, 6_000
-#: A word belongs to a language's text if it is in so many of its sampled documents (at least, and as a share), and its share isn't below that part of its share in any other language.
-LEAST_DOCS, LEAST_SHARE, OTHER_SHARE = 3, 0.008, 0.2
+#: The sample that the automata are built of: labelled documents per language, a window of so many characters of each (anywhere in it), letters of clean text per language.
+SAMPLE_DOCS, SAMPLE_CHARS, MODEL_LETTERS = 300, 6_000, 80_000
+#: Cleaning of the sample: words of a piece, letters of a sequence, times that its label must share them more widely than any other, and part of its label's usual share, rounds; words beside a border that aren't learnt from.
+PIECE_WORDS, GRAM, CLEAR, USUAL, CLEANINGS, BORDER_WORDS = 8, 7, 2.0, 0.2, 2, 16
 #: A document has a language if a run of so many words is in it.
 RUN_WORDS = 8
-#: Phrases that a change of language costs; cost of a known word outside all languages; weight of a word that no language knows; phrases that one word can cost.
-CHANGE, OUTSIDE, UNKNOWN, MOST = 3.0, 0.75, 0.15, 3.0
-#: Words without evidence (numbers, names, formulas) that end a run if so many follow one another; words of a run that no other language may have in fewer phrases, at least, and that its language must know whole, as a share of those that any language knows; least confidence of a run.
-GAP_WORDS, KNOWN_WORDS, KNOWN_SHARE, LEAST_CONFIDENCE = 10, 4, 0.6, 0.15
-#: Documents that a worker holds as arrays at once, and words it remembers before it starts anew.
-DOCS_AT_ONCE, REMEMBERED = 500, 500_000
+#: Phrases that a border between segments costs; letters a phrase of text outside all languages; words without letters (numbers, formulas) that end a run if more of them follow one another; least confidence of a run.
+CHANGE, NONE_LETTERS, GAP_WORDS, LEAST_CONFIDENCE = 4.0, 3.2, 10, 0.2
+#: Words of more letters are in no language. Letters after which a long text's parse starts anew (at a word), texts that step together, documents held at once, words a worker remembers.
+LONGEST_WORD, CHUNK, LANES, DOCS_AT_ONCE, REMEMBERED = 100, 1_500, 1_024, 1_000, 500_000
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>")
 _NO_WORD = re.compile(r"[\d\[\]{}+=@/\\#|<>]")
 _PIECES = re.compile(r"[^\W\d_]+")
-
-
-class SuffixAutomaton:
-    """All substrings of a text; gives the length of the longest match at any place of another one."""
-
-    def __init__(self, text: str) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in text:
-            current = len(self.next)
-            self.next.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = current
-                p = link[p]
-            if p >= 0:
-                q = self.next[p][c]
-                if length[q] == length[p] + 1:
-                    link[current] = q
-                else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
-                        p = link[p]
-                    link[q] = link[current] = clone
-            last = current
-
-    def phrases(self, text: str) -> int:
-        """Number of longest matches that text falls into; a character that is nowhere is a phrase of its own."""
-        n, count, i = len(text), 0, 0
-        states = self.next
-        while i < n:
-            count += 1
-            state = states[0].get(text[i])
-            i += 1
-            while state is not None and i < n and (step := states[state].get(text[i])) is not None:
-                state = step
-                i += 1
-        return count
-
-
-def plain_letters(word: str) -> str:
-    """A word without its accents."""
-    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)))
+#: Stands for a run of words without letters.
+HOLE = "0"
+
+
+def suffix_automaton(text: str) -> list[dict[str, int]]:
+    """The transitions of the automaton of all substrings of a text, by state; state 0 is the start."""
+    steps: list[dict[str, int]] = [{}]
+    link, length, last = [-1], [0], 0
+    for c in text:
+        current = len(steps)
+        steps.append({})
+        length.append(length[last] + 1)
+        link.append(0)
+        p = last
+        while p >= 0 and c not in steps[p]:
+            steps[p][c] = current
+            p = link[p]
+        if p >= 0:
+            q = steps[p][c]
+            if length[q] == length[p] + 1:
+                link[current] = q
+            else:
+                clone = len(steps)
+                steps.append(dict(steps[q]))
+                length.append(length[p] + 1)
+                link.append(link[q])
+                while p >= 0 and steps[p].get(c) == q:
+                    steps[p][c] = clone
+                    p = link[p]
+                link[q] = link[current] = clone
+        last = current
+    return steps
 
 
 def written_words(text: str | None) -> list[str]:
@@ -109,78 +95,153 @@ def written_words(text: str | None) -> list[str]:
     return (_MARKUP.sub("", text) if "<" in text else text).split() if text else []
 
 
-def letter_pieces(word: str) -> list[str]:
-    """The letter sequences of a written word in lower case; none if it is a number, a formula, an ion or a name with digits."""
+def letters_of(word: str) -> str:
+    """A written word in plain lower-case letters, its parts separated by blanks; HOLE if it is a number, a formula, an ion, a name with digits or too long.
+
+    Accents don't count, since texts often lack them.
+    """
     if _NO_WORD.search(word):
-        return []
-    return _PIECES.findall(unicodedata.normalize("NFC", word).lower())
+        return HOLE
+    plain = "".join(c for c in unicodedata.normalize("NFKD", word).lower() if unicodedata.category(c) not in ("Mn", "Cf"))
+    found = " ".join(_PIECES.findall(plain))
+    return found if 0 < len(found) <= LONGEST_WORD else HOLE
 
 
 class Model:
-    """One suffix automaton per language, over the words that its labelled documents share."""
+    """One suffix automaton per language over running text, in the form of sparse transitions.
+
+    texts: by language, text of plain letters and blanks. A language without text is never found.
+    """
 
-    def __init__(self, sample: list[tuple[str, str]]) -> None:
+    def __init__(self, texts: dict[str, str]) -> None:
         self.key = uuid.uuid4().hex
-        docs = Counter(code for code, _ in sample)
-        held: dict[str, Counter] = {code: Counter() for code in CODES}
-        for code, text in sample:
-            held[code].update({p for w in written_words(text) for p in letter_pieces(w)})
-        share = {code: {w: n / docs[code] for w, n in held[code].items()} for code in CODES if docs[code]}
-        top: dict[str, float] = {}
-        for words in share.values():
-            for w, s in words.items():
-                top[w] = max(top.get(w, 0), s)
-        self.automata = []
+        self.letters = sorted(set("".join(texts.values())) | {" ", HOLE})
+        self.parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes = [max(2, len(texts.get(code, ""))) for code in CODES]
+        #: Cost of a phrase, which needs log2(text size) bits to name; relative to the largest automaton.
+        self.weights = np.array([log2(s) / log2(max(sizes)) if texts.get(code) else 1e6 for code, s in zip(CODES, sizes, strict=True)], np.float32)
+        number = {c: i for i, c in enumerate(self.letters)}
         for code in CODES:
-            own = [w for w, s in share.get(code, {}).items() if held[code][w] >= LEAST_DOCS and s >= LEAST_SHARE and s >= OTHER_SHARE * top[w]]
-            text = sorted({*own, *map(plain_letters, own)})
-            self.automata.append(SuffixAutomaton(" " + " ".join(text) + " "))
+            steps = suffix_automaton(texts.get(code, ""))
+            n = sum(map(len, steps))
+            state = np.repeat(np.arange(len(steps), dtype=np.int32), [len(s) for s in steps])
+            letter = np.fromiter((number[c] for s in steps for c in s), np.int16, n)
+            target = np.fromiter((t for s in steps for t in s.values()), np.int32, n)
+            self.parts.append((len(steps), state, letter, target))
 
-    def phrases(self, piece: str) -> list[int]:
-        """Phrases of a letter sequence in each language."""
-        return [a.phrases(f" {piece} ") for a in self.automata]
 
-
-class Evidence(dict):
-    """Maps a written word to a row of the cost matrix (0: no evidence): excess phrases per language, cost outside all, whether a language knows it, phrases per language."""
+class Parser:
+    """Parses texts against all automata of a model at once. One table holds all transitions; a row is a state, and row numbers are offsets into it."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.rows, self.used = model, np.zeros((1 << 14, 2 * len(CODES) + 2), np.float32), 1
-
-    def __missing__(self, word: str) -> int:
-        m = len(CODES)
-        row = [0.0] * (2 * m + 2)
-        for piece in letter_pieces(word):
-            phrases = self.model.phrases(piece)
-            least = min(phrases)
-            weight = 1.0 if least == 1 else UNKNOWN
-            for k, n in enumerate(phrases):
-                row[k] += weight * min(n - least, MOST)
-                row[m + 2 + k] += n
-            if least == 1:
-                row[m] += OUTSIDE
-                row[m + 1] = 1.0
-        self[word] = self.used if row[m] or any(row[:m]) else 0
-        if self[word]:
-            if self.used == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[self.used] = row
-            self.used += 1
-        return self[word]
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The row number of each word of the texts, one after the other, and where each text begins."""
+        self.model, m = model, len(CODES)
+        count = len(model.letters) + 1  # and one for letters that no language has
+        self.codes = np.zeros((m, count), np.int32)
+        self.first = np.zeros((m, count), np.int32)
+        tables, base = [], 0
+        for k, (states, state, letter, target) in enumerate(model.parts):
+            used = np.unique(letter)
+            width = len(used) + 1
+            local = np.full(count, width - 1, np.int32)
+            local[used] = np.arange(len(used))
+            table = np.full((states + 1, width), -1, np.int32)  # the last row has no way on
+            table[state, local[letter]] = base + target * width
+            dead = base + states * width
+            self.codes[k] = local
+            self.first[k] = np.where(table[0, local] < 0, dead, table[0, local])
+            tables.append(table.reshape(-1))
+            base += table.size
+        self.table = np.concatenate(tables)
+        self.dead = np.array([self.table.size] * m)
+        at = 0
+        for k, t in enumerate(tables):
+            at += t.size
+            self.dead[k] = at - (self.codes[k].max() + 1)
+        self.number = {c: i for i, c in enumerate(model.letters)}
+        self.words: dict[str, int] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all words; word 0 has no letters."""
+        self.words.clear()
+        self.spelt, self.offsets = [self._spell(HOLE)], [0]
+        self.hole = [True]
+
+    def _spell(self, letters: str) -> np.ndarray:
+        other = len(self.model.letters)
+        return np.array([self.number.get(c, other) for c in letters + " "], np.uint16)
+
+    def _number(self, word: str) -> int:
+        k = self.words.get(word)
+        if k is None:
+            letters = letters_of(word)
+            k = 0
+            if letters != HOLE:
+                k = len(self.spelt)
+                self.spelt.append(self._spell(letters))
+            self.words[word] = k
+        return k
+
+    def starts(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """For each letter of the texts (one after the other) and each language, whether a phrase starts there."""
+        m, out = len(CODES), np.zeros((len(letters), len(CODES)), bool)
+        begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        order = np.argsort(-sizes, kind="stable")
+        for part in np.split(order, range(LANES, len(order), LANES)):
+            size = sizes[part]
+            longest = int(size[0]) if len(size) else 0
+            row = np.repeat(self.dead[:, None], len(part), axis=1)
+            alive = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than t
+            flags = np.zeros((longest, m, len(part)), bool)
+            for t in range(longest):
+                n = alive[t]
+                c = letters[begin[part[:n]] + t]
+                found = self.table[row[:, :n] + self.codes[:, c]]
+                miss = found < 0
+                flags[t, :, :n] = miss
+                row = np.where(miss, self.first[:, c], found)
+            lane = np.repeat(np.arange(len(part)), size)
+            inside = np.arange(len(lane)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
+            out[np.repeat(begin[part], size) + inside] = flags[inside, :, lane]
+        return out
+
+    def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per written word of the texts its cost in each language, its number of letters (0: without letters); where each text begins; phrases."""
         lists = [written_words(t) for t in texts]
-        if self.used > REMEMBERED:
+        if len(self.spelt) > REMEMBERED:
             self.clear()
-            self.used = 1
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64)
-        return numbers, np.r_[0, np.cumsum([len(x) for x in lists])]
+        counts = np.array([len(x) for x in lists], np.int64)
+        numbers = np.fromiter(map(self._number, chain.from_iterable(lists)), np.int64, counts.sum())
+        starts = np.r_[0, np.cumsum(counts)]
+        n = len(numbers)
+        if not n:
+            return np.zeros((0, len(CODES)), np.float32), np.zeros(0, np.int64), starts, np.zeros((0, len(CODES)), np.float32)
+        size = np.fromiter(map(len, self.spelt), np.int64, len(self.spelt))
+        buffer, offset = np.concatenate(self.spelt), np.r_[0, np.cumsum(size)[:-1]]
+        owner = np.repeat(np.arange(len(texts)), counts)
+        hole = numbers == 0
+        again = np.r_[False, hole[1:] & hole[:-1] & (owner[1:] == owner[:-1])]
+        long = np.where(again, 0, size[numbers])
+        ends = np.cumsum(long)
+        place = np.arange(ends[-1]) - np.repeat(ends - long, long)
+        letters = buffer[np.repeat(offset[numbers], long) + place]
+        # A text is parsed in chunks of whole words.
+        before = ends - long
+        chunk = (before - before[starts[:-1].clip(max=n - 1)][owner]) // CHUNK
+        new = np.r_[True, (np.diff(owner) != 0) | (np.diff(chunk) != 0)]
+        sizes = np.add.reduceat(long, np.flatnonzero(new))
+        flags = self.starts(letters, sizes)
+        total = np.vstack([np.zeros((1, len(CODES)), np.int32), np.cumsum(flags, axis=0, dtype=np.int32)])
+        phrases = (total[ends] - total[before]).astype(np.float32)
+        phrases[hole] = 0
+        return phrases * self.model.weights, np.where(hole, 0, long - 1), starts, phrases
 
 
 def _states(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The cheapest state (a language, or len(CODES) for none) of each word; documents whose best language is nowhere beaten need no search."""
+    """The state (a language, or len(CODES) for none) of each word with which the cost of the text, borders included, is least.
+
+    Documents whose best state is beaten by more than a border's cost on no stretch need no search.
+    """
     n, k = cost.shape
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -202,63 +263,55 @@ def _states(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
         if not len(part):
             continue
         longest = int(sizes[part].max())
-        grid = np.zeros((len(part), longest, k))
+        grid = np.zeros((longest, len(part), k))
         for r, d in enumerate(part):
-            grid[r, : sizes[d]] = cost[starts[d] : starts[d + 1]]
-        came = np.zeros((len(part), longest, k), np.int8)
-        at = grid[:, 0].copy()
-        own = np.arange(k)
+            grid[: sizes[d], r] = cost[starts[d] : starts[d + 1]]
+        came = np.zeros((longest, len(part), k), np.int8)
+        at = grid[0].copy()
+        own, line = np.arange(k), np.arange(len(part))
         for t in range(1, longest):
             cheapest = at.argmin(axis=1)
-            change = at[np.arange(len(part)), cheapest][:, None] + CHANGE
+            change = at[line, cheapest][:, None] + CHANGE
             stay = at <= change
-            came[:, t] = np.where(stay, own, cheapest[:, None])
-            at = np.where(stay, at, change) + grid[:, t]
+            came[t] = np.where(stay, own, cheapest[:, None])
+            at = np.where(stay, at, change) + grid[t]
         state = at.argmin(axis=1)
-        path = np.zeros((len(part), longest), np.int64)
+        path = np.zeros((longest, len(part)), np.int64)
         for t in range(longest - 1, -1, -1):
-            path[:, t] = state
-            state = came[np.arange(len(part)), t, state]
+            path[t] = state
+            state = came[t, line, state]
         for r, d in enumerate(part):
-            states[starts[d] : starts[d + 1]] = path[r, : sizes[d]]
+            states[starts[d] : starts[d + 1]] = path[: sizes[d], r]
     return states
 
 
-def segments_of(evidence: Evidence, texts: list[str | None]) -> Iterator[tuple[int, str, int, int, float]]:
+def segments_of(parser: Parser, texts: list[str | None]) -> Iterator[tuple[int, str, int, int, float]]:
     """(document, language, first word, words, confidence) of each run of RUN_WORDS or more words in one language."""
     m = len(CODES)
-    numbers, starts = evidence.of(texts)
-    place = np.flatnonzero(numbers)  # of the words that bear evidence; the others only count
+    cost, long, starts, _ = parser.costs(texts)
+    place = np.flatnonzero(long)  # words with letters; the others only count
     if not len(place):
         return
-    rows, inner = evidence.rows[numbers[place]], np.searchsorted(place, starts)
-    states = _states(rows[:, : m + 1], inner)
+    inner = np.searchsorted(place, starts)
+    rows = np.hstack([cost[place], (long[place] / NONE_LETTERS)[:, None]]).astype(np.float32)
+    states = _states(rows, inner)
     owner = np.repeat(np.arange(len(texts)), np.diff(inner))
-    at = np.flatnonzero((rows[:, m + 1] > 0) & (states < m))  # known words in a language
-    if not len(at):
-        return
-    # Stretches of adjacent words, known or not, that no other language has in fewer phrases than the one they are in.
-    fits = (states < m) & (rows[np.arange(len(rows)), states] == 0)
-    begins = np.r_[True, (np.diff(owner) != 0) | (np.diff(states) != 0) | (np.diff(place) != 1) | ~(fits[1:] & fits[:-1])]
-    edge = np.flatnonzero(begins)
-    stretch = np.cumsum(begins) - 1
-    end = np.r_[edge[1:], len(rows)] - 1
-    new = np.r_[True, (np.diff(owner[at]) != 0) | (np.diff(states[at]) != 0) | ((np.diff(place[at]) > GAP_WORDS) & (np.diff(stretch[at]) != 0))]
+    new = np.r_[True, (np.diff(owner) != 0) | (np.diff(states) != 0) | (np.diff(place) > GAP_WORDS + 1)]
     first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(at)] - 1
-    low, high = edge[stretch[at[first]]], end[stretch[at[last]]]  # a run goes on over fitting words beside its first and last known one
-    own = np.r_[0, np.cumsum(rows[at, states[at]] == 0)]
-    held = own[last + 1] - own[first]
-    fit = np.r_[0, np.cumsum(fits)]
-    long = np.flatnonzero((place[high] - place[low] + 1 >= RUN_WORDS) & (fit[high + 1] - fit[low] >= KNOWN_WORDS) & (held >= KNOWN_SHARE * (last - first + 1)))
-    if not len(long):
-        return
-    sums = np.vstack([np.zeros((1, m)), np.cumsum(rows[:, m + 2 :], axis=0, dtype=np.float64)])
-    for s in long:
-        a, b = low[s], high[s] + 1
-        lang = int(states[a])
-        phrases = sums[b] - sums[a]
-        sure = 1 - phrases[lang] / np.delete(phrases, lang).min()
+    last = np.r_[first[1:], len(place)] - 1
+    # A run begins and ends with a word that is cheaper in its language than outside all of them.
+    own = rows[np.arange(len(rows)), states] < rows[:, m]
+    index = np.arange(len(rows))
+    after = np.minimum.accumulate(np.where(own, index, len(rows))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(own, index, -1))
+    low, high = after[first], before[last]
+    keep = np.flatnonzero((states[first] < m) & (low < high))
+    keep = keep[place[high[keep]] - place[low[keep]] + 1 >= RUN_WORDS]
+    sums = np.vstack([np.zeros((1, m + 1)), np.cumsum(rows, axis=0, dtype=np.float64)])
+    for s in keep:
+        a, b, lang = low[s], high[s] + 1, int(states[first[s]])
+        total = sums[b] - sums[a]
+        sure = 1 - total[lang] / np.delete(total[:m], lang).min()
         if sure >= LEAST_CONFIDENCE:
             yield int(owner[a]), CODES[lang], int(place[a] - starts[owner[a]]), int(place[b - 1] - place[a] + 1), float(sure)
 
@@ -270,37 +323,113 @@ def label_code(label: Column) -> Column:
     return F.coalesce(F.try_element_at(names, low), F.try_element_at(names, F.element_at(F.split(low, "[-_]"), 1)))
 
 
-def refit(sample: list[tuple[str, str]], extra: list[tuple[str, str]]) -> Model:
-    """A model of a labelled sample whose labels may be wrong: a first model drops the texts that are mostly in another language."""
+def _sequences(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each sequence of GRAM letters in the pieces, and the piece it is in."""
+    text = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    piece = np.cumsum(text == 10) - (text == 10)
+    value = np.zeros(max(0, len(text) - GRAM + 1), np.uint64)
+    for k in range(GRAM):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + text[k : k + len(value)]
+    inside = piece[: len(value)] == piece[GRAM - 1 :]
+    inside &= text[GRAM - 1 :] != 10
+    return np.unique(value[inside], return_inverse=True)[1], piece[: len(value)][inside]
+
+
+def clean_text(sample: list[tuple[str, str]], most: int = MODEL_LETTERS) -> dict[str, str]:
+    """Running text per language, most letters of it at most, of labelled texts (language, text) whose labels may be wrong.
+
+    Texts are cut into pieces of PIECE_WORDS words. A piece is clear if its letter sequences are in CLEAR times as large a
+    share of the other texts of its label as of any other language's, and not much less widely shared than its label's median
+    piece; it is kept if its neighbours and most pieces of its text are clear, too.
+    This is done with the texts as they are labelled and again with what was kept. So text under a wrong label goes as
+    long as the right label is given to it clearly more often, whatever part of a label's texts is wrong.
+    """
+    pieces: list[str] = []
+    owner, label = [], []
+    for i, (code, text) in enumerate(sample):
+        words = [letters_of(w) for w in written_words(text)]
+        words = [w for j, w in enumerate(words) if w != HOLE or j == 0 or words[j - 1] != HOLE]
+        for k in range(0, len(words), PIECE_WORDS):
+            pieces.append(" ".join(words[k : k + PIECE_WORDS]))
+            owner.append(i)
+            label.append(CODES.index(code))
+    if not pieces:
+        return {}
+    of, lang = np.array(owner), np.array(label)
+    gram, piece = _sequences(pieces)
+    size, m, keep = int(gram.max(initial=-1)) + 1, len(CODES), np.ones(len(pieces), bool)
+    for _ in range(CLEANINGS):
+        there = keep[piece]
+        once = np.unique(of[piece[there]] * np.int64(max(1, size)) + gram[there])  # each sequence once a text
+        texts = np.array([len(np.unique(of[keep & (lang == k)])) for k in range(m)])
+        language = np.array([CODES.index(code) for code, _ in sample])[once // max(1, size)]
+        held = np.bincount(language * size + once % max(1, size), minlength=m * size).reshape(m, size)
+        score = np.array([np.bincount(piece, held[k][gram], len(pieces)) for k in range(m)])
+        n = np.bincount(piece, minlength=len(pieces))
+        at = np.arange(len(pieces))
+        score[lang[at], at] -= n * keep  # without the text's own sequences
+        share = score / np.maximum(1, texts)[:, None]
+        own = share[lang[at], at].copy()
+        share[lang[at], at] = 0
+        clear = (own > 0) & (own >= CLEAR * share.max(axis=0))
+        usual = np.array([np.median((own / np.maximum(1, n))[clear & (lang == k)]) if (clear & (lang == k)).any() else 0.0 for k in range(m)])
+        clear &= own >= USUAL * usual[lang] * n
+        votes = np.bincount(of, np.where(clear, 1, -1), len(sample))
+        apart = np.r_[True, np.diff(of) != 0, True]
+        keep = clear & (votes[of] > 0) & (np.r_[True, clear[:-1]] | apart[:-1]) & (np.r_[clear[1:], True] | apart[1:])
+    return _joined(((CODES[lang[k]], pieces[k]) for k in np.flatnonzero(keep)), most)
+
+
+def _joined(parts: Iterator[tuple[str, str]], most: int) -> dict[str, str]:
+    """The texts (language, letters) joined by language, in their order, up to most letters each."""
+    found: dict[str, list[str]] = {}
+    used = Counter()
+    for code, letters in parts:
+        if used[code] < most:
+            found.setdefault(code, []).append(letters[: most - used[code]])
+            used[code] += len(letters) + 1
+    return {code: " " + " ".join(texts) + " " for code, texts in found.items()}
+
+
+def model_of(sample: list[tuple[str, str]], most: int = MODEL_LETTERS) -> Model:
+    """A model of labelled texts whose labels may be wrong: of the clean text first, then of what lies well within the segments that this model finds in the language of their label."""
+    parser = Parser(Model(clean_text(sample, most)))
     main: dict[int, Counter] = {}
-    for doc, code, _, n, _ in segments_of(Evidence(Model(sample)), [t for _, t in sample]):
+    found = list(segments_of(parser, [t for _, t in sample]))
+    for doc, code, _, n, _ in found:
         main.setdefault(doc, Counter())[code] += n
-    kept = [x for i, x in enumerate(sample) if i in main and main[i].most_common(1)[0][0] == x[0]]
-    return Model((kept or sample) + extra)
+    inner = []
+    for doc, code, first, n, _ in found:
+        if code == sample[doc][0] == main[doc].most_common(1)[0][0]:
+            words = written_words(sample[doc][1])
+            low, high = first + (BORDER_WORDS if first else 0), first + n - (BORDER_WORDS if first + n < len(words) else 0)
+            if low < high:
+                inner.append((code, " ".join(map(letters_of, words[low:high]))))
+    return Model(_joined(iter(inner), most))
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, label: str, extra: list[tuple[str, str]] | None = None, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model of the labelled documents: sample_docs per language at most, picked by a hash of their ids, SAMPLE_CHARS of each.
+def fit(docs: DataFrame, doc_id: str, text: str, label: str, sample_docs: int = SAMPLE_DOCS, draw: int = 0) -> Model:
+    """A model of the labelled documents: sample_docs per language at most, picked by a hash of their ids, and of each a window of SAMPLE_CHARS at a place the hash gives.
 
-    extra: further texts (language, text) of a bounded list that is known to be labelled right.
+    draw: another number gives another sample.
     """
     labelled = docs.select(F.col(doc_id).alias("d"), label_code(F.col(label)).alias("code"), F.length(text).alias("n")).where("code IS NOT NULL AND n > 0")
-    best = Window.partitionBy("code").orderBy(F.xxhash64("d"), "d")
-    picked = cut(labelled.select("d", "code").withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample_docs).select("d", "code"))
-    rows = docs.select(F.col(doc_id).alias("d"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).join(F.broadcast(picked), "d").select("code", "t").collect()
-    sample = sorted((r.code, r.t) for r in rows)
-    return refit(sample, extra or [])
+    best = Window.partitionBy("code").orderBy(F.xxhash64("d", F.lit(draw)), "d")
+    picked = cut(labelled.withColumn("k", F.row_number().over(best)).where(F.col("k") <= sample_docs).select("d", "code", "n", "k"))
+    begin = 1 + F.pmod(F.xxhash64("d", F.lit(draw), F.lit(1)), F.greatest(F.col("n") - SAMPLE_CHARS, F.lit(1)))
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(picked), "d").select("code", "k", F.col("t").substr(begin.cast("int"), F.lit(SAMPLE_CHARS)).alias("t")).collect()
+    return model_of([(r.code, r.t) for r in sorted(rows, key=lambda r: (r.code, r.k, r.t))])
 
 
-_WORKER: dict[str, Evidence] = {}
+_WORKER: dict[str, Parser] = {}
 
 
-def _worker_evidence(shared: Broadcast) -> Evidence:
-    """This worker's words under the model that it was sent, kept from task to task."""
+def _worker_parser(shared: Broadcast) -> Parser:
+    """This worker's parser of the model that it was sent, kept from task to task."""
     model = shared.value
     if model.key not in _WORKER:
         _WORKER.clear()
-        _WORKER[model.key] = Evidence(model)
+        _WORKER[model.key] = Parser(model)
     return _WORKER[model.key]
 
 
@@ -309,16 +438,16 @@ def find_segments(docs: DataFrame, doc_id: str, text: str, model: Model) -> Data
 
     Words are runs of characters between white space. Numbers, formulas and names count within a segment but don't make
     one; null and empty texts, and texts without any such run, have no segment. Texts of any length are used whole.
-    confidence is the share of phrases that the language saves against the next best one. The model has a fixed bound.
+    confidence is the part of its cost in the next best language that the segment saves. The model has a fixed bound.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = _worker_evidence(shared)
+        parser = _worker_parser(shared)
         for batch in batches:
             for k in range(0, batch.num_rows, DOCS_AT_ONCE):
                 piece = batch.slice(k, DOCS_AT_ONCE)
-                found = list(segments_of(evidence, piece.column(1).to_pylist()))
+                found = list(segments_of(parser, piece.column(1).to_pylist()))
                 if found:
                     at, lang, first, n, sure = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
@@ -328,3 +457,31 @@ def find_segments(docs: DataFrame, doc_id: str, text: str, model: Model) -> Data
 
     found = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(scan, f"d {dict(docs.dtypes)[doc_id]}, lang string, first_word int, n_words int, confidence double")
     return found.withColumnRenamed("d", doc_id)
+
+
+def cross_parse(docs: DataFrame, doc_id: str, text: str, model: Model) -> DataFrame:
+    """(doc_id, n_letters, phrases_en ... phrases_ru, lang, confidence): each document parsed whole against every language.
+
+    lang needs the fewest normalised phrases; confidence is the part of the next best language's phrases that it saves. Null
+    and empty texts, texts without letters and ties have no language (null) and confidence 0. One row per row of docs.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"phrases_{code}" for code in CODES]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = _worker_parser(shared)
+        for batch in batches:
+            for k in range(0, batch.num_rows, DOCS_AT_ONCE):
+                piece = batch.slice(k, DOCS_AT_ONCE)
+                cost, long, starts, phrases = parser.costs(piece.column(1).to_pylist())
+                sums = [np.vstack([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0, dtype=np.float64)]) for x in (cost, phrases, long[:, None])]
+                total, count, letters = (s[starts[1:]] - s[starts[:-1]] for s in sums)
+                order = np.sort(total, axis=1)
+                sure = 1 - order[:, 0] / np.maximum(order[:, 1], 1e-9)
+                sure[letters[:, 0] == 0] = 0
+                lang = [CODES[k] if s > 0 else None for k, s in zip(total.argmin(axis=1), sure, strict=True)]
+                columns = [piece.column(0), pa.array(letters[:, 0].astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in count.T), pa.array(lang, pa.string()), pa.array(np.maximum(sure, 0))]
+                yield pa.RecordBatch.from_arrays(columns, names=["d", "n_letters", *names, "lang", "confidence"])
+
+    schema = f"d {dict(docs.dtypes)[doc_id]}, n_letters long, {', '.join(f'{n} long' for n in names)}, lang string, confidence double"
+    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInArrow(scan, schema).withColumnRenamed("d", doc_id)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spectrail.llm.components import linked_groups
 from spectrail.llm.contamination import find_leaks
 from spectrail.llm.duplicates import collapse_formatting, find_copies
-from spectrail.llm.language import find_segments, fit, label_code
+from spectrail.llm.language import cross_parse, find_segments, fit, label_code
 from spectrail.llm.name_matching import match_names
 from spectrail.llm.rank_fusion import rank_items, undisputed_firsts
 from spectrail.llm.survivorship import surviving_values
@@ -192,11 +192,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 # 10: missing or wrong document language labels
 
 
+def p10_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document parsed whole against every language: phrases, the language with the fewest, confidence."""
+    docs = table(spark, sf_dir, "documents")
+    return cross_parse(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang"))
+
+
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every segment in one language with a confidence."""
     docs = table(spark, sf_dir, "documents")
-    english = [("en", r.text) for r in table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("text").collect()]  # a fixed list of 160 items
-    return find_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang", english))
+    return find_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +229,7 @@ QUERIES = {
     "p9_found": p9_found,
     "p9_leaks": p9_leaks,
     "p10_found": p10_found,
+    "p10_method": p10_method,
     "p10_segments": p10_segments,
 }
 SQL = {

@@ -7,7 +7,7 @@ import random
 import pytest
 
 from spectrail.llm.contamination import ALTERED, EXACT_WORDS, PASSAGE_WORDS, ItemIndex, Words, canonical_word, fewest_edits, find_leaks, leaks_of
-from spectrail.llm.language import CODES, Evidence, Model, SuffixAutomaton, find_segments, label_code, refit, segments_of
+from spectrail.llm.language import CODES, HOLE, Model, Parser, clean_text, cross_parse, find_segments, fit, label_code, letters_of, model_of, segments_of
 from spectrail.llm.name_matching import Matcher, edits, match_names, tokens
 from spectrail.llm.tokenizer import TOKENIZERS, PerfectHash, encode_corpus, encoder, read_vocabulary
 
@@ -135,15 +135,31 @@ def test_reparameterised_and_table(spark):
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
-def test_suffix_automaton_knows_all_substrings():
-    text = "abracadabra cab"
-    a = SuffixAutomaton(text)
-    for query in ("abra", "cadab", "zzz", "brazcab", ""):
-        n, i = 0, 0
-        while i < len(query):
-            k = max((k for k in range(1, len(query) - i + 1) if query[i : i + k] in text), default=1)
-            n, i = n + 1, i + k
-        assert a.phrases(query) == n
+def test_parser_takes_longest_matches():
+    texts = {"en": "abracadabra cab ", "de": "cada abba 0 zz ", "ru": "абв аб "}
+    parser = Parser(Model(texts))
+    for query in ("abra", "cadab abra zz", "zzz", "brazcab", "абв 12 abba", "日本 ab", "", None, "a" * 99, "b" * 500):
+        cost, long, starts, phrases = parser.costs([query, "ab", query])
+        for code in ("en", "de", "ru"):
+            plain = " ".join(letters_of(w) for w in (query or "").split())
+            plain, n, i, begins = plain + " " if plain else "", 0, 0, []
+            while i < len(plain):
+                k = max((k for k in range(1, len(plain) - i + 1) if plain[i : i + k] in texts[code]), default=1)
+                begins.append(i)
+                n, i = n + 1, i + k
+            holes = {i for i, c in enumerate(plain) if c == HOLE} | {i + 1 for i, c in enumerate(plain) if c == HOLE}
+            want = sum(b not in holes for b in begins)
+            assert phrases[: starts[1], CODES.index(code)].sum() == phrases[starts[2] :, CODES.index(code)].sum() == want
+        assert (long == 0).sum() == 2 * sum(letters_of(w) == HOLE for w in (query or "").split())
+        assert cost.shape == phrases.shape == (starts[-1], len(CODES))
+
+
+def test_long_texts_are_parsed_whole():
+    parser = Parser(Model({"en": "the result of this sample ", "de": "das ergebnis dieser probe "}))
+    _, long, _, phrases = parser.costs(["the result of this sample " * 2_000 + "das ergebnis dieser probe " * 2_000])
+    assert len(long) == 18_000
+    en, de = phrases[:, 0], phrases[:, 1]
+    assert en[:10_000].sum() < de[:10_000].sum() / 5 and de[10_000:].sum() < en[10_000:].sum() / 5
 
 
 SENTENCES = {
@@ -160,36 +176,52 @@ def _sample():
 
 
 def test_segments_of_mixed_texts():
-    evidence = Evidence(refit(_sample() + [("en", SENTENCES["de"][0])], []))
+    parser = Parser(model_of(_sample() + [("en", SENTENCES["de"][0])]))
     mixed = f"{SENTENCES['en'][0]}. {SENTENCES['de'][1]}. 12-oxokelosine 100.5 3"
     short = f"{SENTENCES['en'][0]} die Bibliothek der Woche {SENTENCES['en'][1]}"
     bare = SENTENCES["fr"][0].replace("é", "e")
-    texts = [mixed, None, "", short, "100.5 3\n200.1 7 [M+H]+ C6H12O6", bare, SENTENCES["ru"][2]]
+    texts = [mixed, None, "", short, "100.5 3\n200.1 7 [M+H]+ C6H12O6", bare, SENTENCES["ru"][2], "zyxolin graemosa brunfelia xystrix hoplonia vremplis thoracix plumbago nextrion"]
     got: dict = {}
-    for doc, code, _, n, sure in segments_of(evidence, texts):
+    for doc, code, _, n, sure in segments_of(parser, texts):
         got.setdefault(doc, set()).add(code)
         assert n >= 8 and 0 < sure <= 1
     assert got == {0: {"en", "de"}, 3: {"en"}, 5: {"fr"}, 6: {"ru"}}
 
 
 def test_held_out_sentences_are_told_apart():
-    model = Model(_sample())
-    evidence = Evidence(model)
+    parser = Parser(model_of(_sample()))
     held_out = {"en": "the end of the table was stored before the sample of that week was found again", "de": "das Ende der Tabelle wurde vor dieser Woche in der Bibliothek gefunden", "fr": "la fin du tableau a été rangé avant la semaine dans les autres fichiers"}
     for code, text in held_out.items():
-        assert {c for _, c, *_ in segments_of(evidence, [text])} == {code}
-    assert len(model.automata) == len(CODES)
+        assert {c for _, c, *_ in segments_of(parser, [text])} == {code}
 
 
-def test_unlisted_words_count_within_and_beside_a_run():
-    evidence = Evidence(Model(_sample()))
-    beside = f"{SENTENCES['fr'][0]} rechecked the result of this sample was stored weekend"
-    few = "foundered recordings were withholding the sampled checked otherwise"
-    found = {(doc, code): (first, n) for doc, code, first, n, _ in segments_of(evidence, [beside, few, "rechecked the result of this sample was 12 Alpina"])}
-    start = len(SENTENCES["fr"][0].split())
-    assert found[0, "en"] == (start, 9)
-    assert found[1, "en"] == (0, 8)
-    assert not any(doc == 2 for doc, _ in found)
+@pytest.mark.parametrize("wrong", [2, 4])
+def test_wrong_labels_are_not_learnt(wrong):
+    """Of nine texts labelled German, `wrong` are English, and one of the others ends in English."""
+    sample = [x for x in _sample() if x[0] != "de"] + [("de", ". ".join(SENTENCES["de"][k:] + SENTENCES["de"][:k])) for k in (0, 1, 2, 0, 1, 2, 0)][: 9 - wrong]
+    sample += [("de", ". ".join(SENTENCES["en"][k:] + SENTENCES["en"][:k])) for k in range(wrong)] + [("de", ". ".join([*SENTENCES["de"], SENTENCES["en"][1]]))]
+    texts = clean_text(sample)
+    assert not {"the", "week", "library"} & set(texts["de"].split()) and "ergebnis" in texts["de"].split()
+    parser = Parser(model_of(sample))
+    assert {c for _, c, *_ in segments_of(parser, SENTENCES["en"])} == {"en"}
+
+
+def test_draws_of_the_sample_agree(spark):
+    """Four draws of the labelled documents give the same languages to 99 % of the rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = []
+    for draw in range(4):
+        segments = find_segments(docs, "doc_id", "text", fit(docs, "doc_id", "text", "lang", draw=draw, sample_docs=60))
+        found.append({(r.doc_id, r.lang) for r in segments.select("doc_id", "lang").distinct().collect()})
+    assert len(set.intersection(*found)) >= 0.99 * len(set.union(*found)) and len(found[0]) > 900
+
+
+def test_cross_parse(spark):
+    docs = spark.createDataFrame([(1, SENTENCES["de"][0], "x"), (2, None, "x"), (3, "", "x"), (4, "12 13", "x"), (5, SENTENCES["ru"][1], "x")], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in cross_parse(docs, "doc_id", "text", model_of(_sample())).collect()}
+    assert {k: r.lang for k, r in got.items()} == {1: "de", 2: None, 3: None, 4: None, 5: "ru"}
+    assert got[1].phrases_de < got[1].phrases_en and got[1].confidence > 0.3 and got[2].confidence == got[4].n_letters == 0
+    assert cross_parse(docs.limit(0), "doc_id", "text", model_of([])).count() == 0
 
 
 def test_labels_and_table(spark):
@@ -197,6 +229,7 @@ def test_labels_and_table(spark):
     got = spark.createDataFrame(labels, "label string, want string")
     assert all(r.code == r.want for r in got.select("want", label_code(got["label"]).alias("code")).collect())
     docs = spark.createDataFrame([(1, SENTENCES["de"][0], "x"), (2, None, "x"), (3, "", "x")], "doc_id long, text string, lang string")
-    assert [(r.doc_id, r.lang) for r in find_segments(docs, "doc_id", "text", Model(_sample())).collect()] == [(1, "de")]
-    assert find_segments(docs.limit(0), "doc_id", "text", Model([])).count() == 0
-    assert find_segments(docs, "doc_id", "text", Model([])).count() == 0
+    assert [(r.doc_id, r.lang) for r in find_segments(docs, "doc_id", "text", model_of(_sample())).collect()] == [(1, "de")]
+    assert find_segments(docs.limit(0), "doc_id", "text", Model({})).count() == 0
+    assert find_segments(docs, "doc_id", "text", Model({})).count() == 0
+    assert fit(docs.where("false"), "doc_id", "text", "lang").letters and fit(docs, "doc_id", "text", "lang").letters
