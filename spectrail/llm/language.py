@@ -19,6 +19,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from math import log2
 
@@ -51,7 +52,7 @@ RUN_WORDS = 8
 #: Phrases that a border between segments costs; letters a phrase of text outside all languages; words without letters (numbers, formulas) that end a run if more of them follow one another; least confidence of a run.
 CHANGE, NONE_LETTERS, GAP_WORDS, LEAST_CONFIDENCE = 4.0, 3.2, 10, 0.2
 #: Words of more letters are in no language. Letters after which a long text's parse starts anew (at a word), texts that step together, documents held at once, words a worker remembers.
-LONGEST_WORD, CHUNK, LANES, DOCS_AT_ONCE, REMEMBERED = 100, 1_500, 1_024, 1_000, 500_000
+LONGEST_WORD, CHUNK, LANES, DOCS_AT_ONCE, REMEMBERED = 100, 1_500, 2_048, 1_500, 500_000
 
 _MARKUP = re.compile(r"</?[A-Za-z][^<>]*>")
 _NO_WORD = re.compile(r"[\d\[\]{}+=@/\\#|<>]")
@@ -95,6 +96,7 @@ def written_words(text: str | None) -> list[str]:
     return (_MARKUP.sub("", text) if "<" in text else text).split() if text else []
 
 
+@lru_cache(maxsize=200_000)
 def letters_of(word: str) -> str:
     """A written word in plain lower-case letters, its parts separated by blanks; HOLE if it is a number, a formula, an ion, a name with digits or too long.
 
@@ -115,7 +117,9 @@ class Model:
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.key = uuid.uuid4().hex
-        self.letters = sorted(set("".join(texts.values())) | {" ", HOLE})
+        # Letters of many languages first, so that a language's row of transitions ends early.
+        common = Counter(c for t in texts.values() for c in set(t) | {" ", HOLE})
+        self.letters = sorted(common, key=lambda c: (-common[c], c))
         self.parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         sizes = [max(2, len(texts.get(code, ""))) for code in CODES]
         #: Cost of a phrase, which needs log2(text size) bits to name; relative to the largest automaton.
@@ -130,94 +134,95 @@ class Model:
             self.parts.append((len(steps), state, letter, target))
 
 
+class Spelling(dict):
+    """Maps a written word to a number, by which `spelt` has its letters as numbers; 0 is a word without letters."""
+
+    def __init__(self, letters: list[str]) -> None:
+        super().__init__()
+        self.number, self.other = {c: i for i, c in enumerate(letters)}, len(letters)
+        self.spelt = [self._spell(HOLE)]
+
+    def _spell(self, letters: str) -> np.ndarray:
+        return np.array([self.number.get(c, self.other) for c in letters + " "], np.uint16)
+
+    def __missing__(self, word: str) -> int:
+        letters = letters_of(word)
+        if letters == HOLE:
+            self[word] = 0
+        else:
+            self[word] = len(self.spelt)
+            self.spelt.append(self._spell(letters))
+        return self[word]
+
+
 class Parser:
     """Parses texts against all automata of a model at once. One table holds all transitions; a row is a state, and row numbers are offsets into it."""
 
     def __init__(self, model: Model) -> None:
         self.model, m = model, len(CODES)
-        count = len(model.letters) + 1  # and one for letters that no language has
-        self.codes = np.zeros((m, count), np.int32)
-        self.first = np.zeros((m, count), np.int32)
+        self.last = np.zeros((m, 1), np.int64)  # the column of all letters that the language lacks
+        self.dead = np.zeros((m, 1), np.int64)  # a row without a way on
         tables, base = [], 0
         for k, (states, state, letter, target) in enumerate(model.parts):
-            used = np.unique(letter)
-            width = len(used) + 1
-            local = np.full(count, width - 1, np.int32)
-            local[used] = np.arange(len(used))
-            table = np.full((states + 1, width), -1, np.int32)  # the last row has no way on
-            table[state, local[letter]] = base + target * width
-            dead = base + states * width
-            self.codes[k] = local
-            self.first[k] = np.where(table[0, local] < 0, dead, table[0, local])
-            tables.append(table.reshape(-1))
+            self.last[k] = letter.max(initial=-1) + 1
+            width = int(self.last[k, 0]) + 1
+            table = np.full((states + 1, width), -1, np.int32)
+            table[state, letter] = base + target * width
+            self.dead[k] = base + states * width
+            # Where there is no way on, the entry is the complement of where a new phrase with this letter leads.
+            first = np.where(table[0] < 0, self.dead[k, 0], table[0])
+            tables.append(np.where(table < 0, ~first[None, :], table).astype(np.int32).reshape(-1))
             base += table.size
         self.table = np.concatenate(tables)
-        self.dead = np.array([self.table.size] * m)
-        at = 0
-        for k, t in enumerate(tables):
-            at += t.size
-            self.dead[k] = at - (self.codes[k].max() + 1)
-        self.number = {c: i for i, c in enumerate(model.letters)}
-        self.words: dict[str, int] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forgets all words; word 0 has no letters."""
-        self.words.clear()
-        self.spelt, self.offsets = [self._spell(HOLE)], [0]
-        self.hole = [True]
+        self.words = Spelling(model.letters)
 
-    def _spell(self, letters: str) -> np.ndarray:
-        other = len(self.model.letters)
-        return np.array([self.number.get(c, other) for c in letters + " "], np.uint16)
-
-    def _number(self, word: str) -> int:
-        k = self.words.get(word)
-        if k is None:
-            letters = letters_of(word)
-            k = 0
-            if letters != HOLE:
-                k = len(self.spelt)
-                self.spelt.append(self._spell(letters))
-            self.words[word] = k
-        return k
-
-    def starts(self, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """For each letter of the texts (one after the other) and each language, whether a phrase starts there."""
-        m, out = len(CODES), np.zeros((len(letters), len(CODES)), bool)
+    def phrases(self, letters: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases that start in each word, by language. Texts of the given sizes lie one after the other in letters; ends: where words end."""
+        m, out = len(CODES), np.zeros((len(ends), len(CODES)), np.int32)
         begin = np.r_[0, np.cumsum(sizes)[:-1]]
+        owner = np.searchsorted(begin, ends - 1, side="right") - 1
+        first = np.searchsorted(owner, np.arange(len(sizes) + 1))
         order = np.argsort(-sizes, kind="stable")
         for part in np.split(order, range(LANES, len(order), LANES)):
-            size = sizes[part]
-            longest = int(size[0]) if len(size) else 0
-            row = np.repeat(self.dead[:, None], len(part), axis=1)
-            alive = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than t
-            flags = np.zeros((longest, m, len(part)), bool)
+            size, n = sizes[part], len(part)
+            longest = int(size.max(initial=0))
+            lane = np.repeat(np.arange(n), size)
+            inside = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
+            grid = np.full((longest, n), len(self.model.letters), np.int64)
+            grid[inside, lane] = letters[np.repeat(begin[part], size) + inside]
+            row = np.repeat(self.dead, n, axis=1)
+            count = np.zeros((longest + 1, m, n), np.int16)
+            at, found, sign = np.empty((m, n), np.int64), np.empty((m, n), np.int32), np.empty((m, n), np.int32)
             for t in range(longest):
-                n = alive[t]
-                c = letters[begin[part[:n]] + t]
-                found = self.table[row[:, :n] + self.codes[:, c]]
-                miss = found < 0
-                flags[t, :, :n] = miss
-                row = np.where(miss, self.first[:, c], found)
-            lane = np.repeat(np.arange(len(part)), size)
-            inside = np.arange(len(lane)) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)
-            out[np.repeat(begin[part], size) + inside] = flags[inside, :, lane]
+                np.minimum(grid[t], self.last, out=at)
+                np.add(at, row, out=at)
+                np.take(self.table, at, out=found, mode="clip")
+                np.right_shift(found, 31, out=sign)  # -1 where a phrase starts
+                np.subtract(count[t], sign, out=count[t + 1], casting="unsafe")
+                np.bitwise_xor(found, sign, out=found)
+                row[:] = found
+            words = np.concatenate([np.arange(first[k], first[k + 1]) for k in part]) if n else np.zeros(0, np.int64)
+            lane = np.repeat(np.arange(n), (first[1:] - first[:-1])[part])
+            total = count[ends[words] - begin[part][lane], :, lane]
+            head = np.r_[True, np.diff(lane) != 0] if len(lane) else np.zeros(0, bool)
+            out[words] = np.diff(total, axis=0, prepend=np.zeros((1, m), total.dtype))
+            out[words[head]] = total[head]
         return out
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per written word of the texts its cost in each language, its number of letters (0: without letters); where each text begins; phrases."""
         lists = [written_words(t) for t in texts]
-        if len(self.spelt) > REMEMBERED:
-            self.clear()
+        if len(self.words) > REMEMBERED:
+            self.words = Spelling(self.model.letters)
         counts = np.array([len(x) for x in lists], np.int64)
-        numbers = np.fromiter(map(self._number, chain.from_iterable(lists)), np.int64, counts.sum())
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(lists)), np.int64, counts.sum())
         starts = np.r_[0, np.cumsum(counts)]
         n = len(numbers)
         if not n:
             return np.zeros((0, len(CODES)), np.float32), np.zeros(0, np.int64), starts, np.zeros((0, len(CODES)), np.float32)
-        size = np.fromiter(map(len, self.spelt), np.int64, len(self.spelt))
-        buffer, offset = np.concatenate(self.spelt), np.r_[0, np.cumsum(size)[:-1]]
+        spelt = self.words.spelt
+        size = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        buffer, offset = np.concatenate(spelt), np.r_[0, np.cumsum(size)[:-1]]
         owner = np.repeat(np.arange(len(texts)), counts)
         hole = numbers == 0
         again = np.r_[False, hole[1:] & hole[:-1] & (owner[1:] == owner[:-1])]
@@ -230,9 +235,9 @@ class Parser:
         chunk = (before - before[starts[:-1].clip(max=n - 1)][owner]) // CHUNK
         new = np.r_[True, (np.diff(owner) != 0) | (np.diff(chunk) != 0)]
         sizes = np.add.reduceat(long, np.flatnonzero(new))
-        flags = self.starts(letters, sizes)
-        total = np.vstack([np.zeros((1, len(CODES)), np.int32), np.cumsum(flags, axis=0, dtype=np.int32)])
-        phrases = (total[ends] - total[before]).astype(np.float32)
+        held = np.flatnonzero(long)  # repeated holes have no letters
+        phrases = np.zeros((n, len(CODES)), np.float32)
+        phrases[held] = self.phrases(letters, sizes, ends[held])
         phrases[hole] = 0
         return phrases * self.model.weights, np.where(hole, 0, long - 1), starts, phrases
 
