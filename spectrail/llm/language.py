@@ -118,7 +118,7 @@ class Model:
     def __init__(self, texts: dict[str, str]) -> None:
         self.key = uuid.uuid4().hex
         # Letters of many languages first, so that a language's row of transitions ends early.
-        common = Counter(c for t in texts.values() for c in set(t) | {" ", HOLE})
+        common = Counter([" ", HOLE, *(c for t in texts.values() for c in set(t))])
         self.letters = sorted(common, key=lambda c: (-common[c], c))
         self.parts: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         sizes = [max(2, len(texts.get(code, ""))) for code in CODES]
@@ -190,7 +190,7 @@ class Parser:
             inside = np.arange(len(lane)) - np.repeat(np.cumsum(size) - size, size)
             grid = np.full((longest, n), len(self.model.letters), np.int64)
             grid[inside, lane] = letters[np.repeat(begin[part], size) + inside]
-            row = np.repeat(self.dead, n, axis=1)
+            row = np.repeat(self.dead, n, axis=1).astype(np.int32)
             count = np.zeros((longest + 1, m, n), np.int16)
             at, found, sign = np.empty((m, n), np.int64), np.empty((m, n), np.int32), np.empty((m, n), np.int32)
             for t in range(longest):
@@ -199,8 +199,7 @@ class Parser:
                 np.take(self.table, at, out=found, mode="clip")
                 np.right_shift(found, 31, out=sign)  # -1 where a phrase starts
                 np.subtract(count[t], sign, out=count[t + 1], casting="unsafe")
-                np.bitwise_xor(found, sign, out=found)
-                row[:] = found
+                np.bitwise_xor(found, sign, out=row)
             words = np.concatenate([np.arange(first[k], first[k + 1]) for k in part]) if n else np.zeros(0, np.int64)
             lane = np.repeat(np.arange(n), (first[1:] - first[:-1])[part])
             total = count[ends[words] - begin[part][lane], :, lane]
@@ -242,43 +241,52 @@ class Parser:
         return phrases * self.model.weights, np.where(hole, 0, long - 1), starts, phrases
 
 
-def _states(cost: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Running sums along the last axis, beginning with 0."""
+    out = np.zeros((len(values), values.shape[1] + 1))
+    np.cumsum(values, axis=1, dtype=np.float64, out=out[:, 1:])
+    return out
+
+
+def _states(cost: np.ndarray, sums: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The state (a language, or len(CODES) for none) of each word with which the cost of the text, borders included, is least.
 
-    Documents whose best state is beaten by more than a border's cost on no stretch need no search.
+    cost: a row per state, a column per word. Documents whose best state is beaten by more than a border's cost on no
+    stretch need no search.
     """
-    n, k = cost.shape
+    k, n = cost.shape
     sizes = np.diff(starts)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    sums = np.vstack([np.zeros((1, k)), np.cumsum(cost, axis=0, dtype=np.float64)])
-    total = sums[starts[1:]] - sums[starts[:-1]]
-    best = total.argmin(axis=1) if len(sizes) else np.zeros(0, np.int64)
+    total = sums[:, starts[1:]] - sums[:, starts[:-1]]
+    best = total.argmin(axis=0)
     states = best[owner]
     if not n:
         return states
-    gain = np.cumsum(cost[np.arange(n), states][:, None] - cost, axis=0, dtype=np.float64)
-    base = np.vstack([np.zeros((1, k)), gain])[starts[:-1]]
-    gain -= base[owner]
-    # The largest gain over any stretch of a document; a step down of `far` per document keeps the running minimum inside it.
-    far = 1e6 * owner[:, None].astype(np.float64)
-    low = np.minimum(np.minimum.accumulate(gain - far, axis=0) + far, 0)
-    most = np.maximum.reduceat((gain - low).max(axis=1), np.minimum(starts[:-1], n - 1))
-    open_docs = np.flatnonzero((most > CHANGE) & (sizes > 0))
+    own = np.cumsum(cost[states, np.arange(n)], dtype=np.float64)
+    # The largest gain of another state over any stretch of a document; a step down of `far` per document keeps the running minimum inside it.
+    far, open_docs = 1e6 * owner, np.zeros(len(sizes), bool)
+    first = np.minimum(starts[:-1], n - 1)
+    for other in sums[:, 1:]:
+        gain = own - other
+        gain -= (np.r_[0, gain][starts[:-1]])[owner]
+        low = np.minimum(np.minimum.accumulate(gain - far) + far, 0)
+        open_docs |= np.maximum.reduceat(gain - low, first) > CHANGE
+    open_docs = np.flatnonzero(open_docs & (sizes > 0))
     for part in np.array_split(open_docs[np.argsort(sizes[open_docs])], max(1, len(open_docs) // 64)):
         if not len(part):
             continue
         longest = int(sizes[part].max())
         grid = np.zeros((longest, len(part), k))
         for r, d in enumerate(part):
-            grid[: sizes[d], r] = cost[starts[d] : starts[d + 1]]
+            grid[: sizes[d], r] = cost[:, starts[d] : starts[d + 1]].T
         came = np.zeros((longest, len(part), k), np.int8)
         at = grid[0].copy()
-        own, line = np.arange(k), np.arange(len(part))
+        every, line = np.arange(k), np.arange(len(part))
         for t in range(1, longest):
             cheapest = at.argmin(axis=1)
             change = at[line, cheapest][:, None] + CHANGE
             stay = at <= change
-            came[t] = np.where(stay, own, cheapest[:, None])
+            came[t] = np.where(stay, every, cheapest[:, None])
             at = np.where(stay, at, change) + grid[t]
         state = at.argmin(axis=1)
         path = np.zeros((longest, len(part)), np.int64)
@@ -298,27 +306,30 @@ def segments_of(parser: Parser, texts: list[str | None]) -> Iterator[tuple[int,
     if not len(place):
         return
     inner = np.searchsorted(place, starts)
-    rows = np.hstack([cost[place], (long[place] / NONE_LETTERS)[:, None]]).astype(np.float32)
-    states = _states(rows, inner)
+    rows = np.concatenate([cost[place].T, (long[place] / NONE_LETTERS)[None, :]]).astype(np.float32)
+    sums = _sums(rows)
+    states = _states(rows, sums, inner)
     owner = np.repeat(np.arange(len(texts)), np.diff(inner))
     new = np.r_[True, (np.diff(owner) != 0) | (np.diff(states) != 0) | (np.diff(place) > GAP_WORDS + 1)]
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(place)] - 1
     # A run begins and ends with a word that is cheaper in its language than outside all of them.
-    own = rows[np.arange(len(rows)), states] < rows[:, m]
-    index = np.arange(len(rows))
-    after = np.minimum.accumulate(np.where(own, index, len(rows))[::-1])[::-1]
+    index = np.arange(len(place))
+    own = rows[states, index] < rows[m]
+    after = np.minimum.accumulate(np.where(own, index, len(place))[::-1])[::-1]
     before = np.maximum.accumulate(np.where(own, index, -1))
     low, high = after[first], before[last]
     keep = np.flatnonzero((states[first] < m) & (low < high))
     keep = keep[place[high[keep]] - place[low[keep]] + 1 >= RUN_WORDS]
-    sums = np.vstack([np.zeros((1, m + 1)), np.cumsum(rows, axis=0, dtype=np.float64)])
-    for s in keep:
-        a, b, lang = low[s], high[s] + 1, int(states[first[s]])
-        total = sums[b] - sums[a]
-        sure = 1 - total[lang] / np.delete(total[:m], lang).min()
-        if sure >= LEAST_CONFIDENCE:
-            yield int(owner[a]), CODES[lang], int(place[a] - starts[owner[a]]), int(place[b - 1] - place[a] + 1), float(sure)
+    a, b, lang = low[keep], high[keep] + 1, states[first[keep]]
+    total = sums[:m, b] - sums[:m, a]
+    least = total[lang, np.arange(len(keep))]
+    total[lang, np.arange(len(keep))] = np.inf
+    sure = 1 - least / total.min(axis=0, initial=np.inf)
+    sure_enough = sure >= LEAST_CONFIDENCE
+    doc, at = owner[a], place[a] - starts[owner[a]]
+    for s in np.flatnonzero(sure_enough):
+        yield int(doc[s]), CODES[lang[s]], int(at[s]), int(place[b[s] - 1] - place[a[s]] + 1), float(sure[s])
 
 
 def label_code(label: Column) -> Column:
