@@ -411,7 +411,10 @@ def model_of(sample: list[tuple[str, str]], most: int = MODEL_LETTERS) -> Model:
     """A model of labelled texts whose labels may be wrong: of the clean text first, then of what lies well within the segments that this model finds in the language of their label."""
     parser = Parser(Model(clean_text(sample, most)))
     main: dict[int, Counter] = {}
-    found = list(segments_of(parser, [t for _, t in sample]))
+    found = []
+    for k in range(0, len(sample), 300):
+        found += [(k + doc, *rest) for doc, *rest in segments_of(parser, [t for _, t in sample[k : k + 300]])]
+    del parser
     for doc, code, _, n, _ in found:
         main.setdefault(doc, Counter())[code] += n
     inner = []

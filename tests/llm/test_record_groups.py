@@ -8,7 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from spectrail.llm.components import linked_groups, union_find
+from spectrail.llm.components import in_cells, linked_groups, union_find
 from spectrail.llm.duplicates import canonical_text, collapse_formatting, find_copies
 from spectrail.llm.rank_fusion import order_statistic, rank_items, undisputed_firsts
 from spectrail.llm.survivorship import surviving_values
@@ -61,6 +61,26 @@ def test_linked_groups(spark, cell_edges):
     assert {r.member: r.group_id for r in got.collect()} == want and got.count() == len(want)
 
 
+def test_a_long_ascending_chain_takes_few_rounds(spark):
+    """100,000 edges along ascending names, in more than 100 cells."""
+    n, watch = 100_000, []
+    chain = spark.range(n).select(F.format_string("n%07d", "id").alias("a"), F.format_string("n%07d", F.col("id") + 1).alias("b"))
+    cells = in_cells(chain, n, 1_000).groupBy("row", "column", "part").count()
+    got = linked_groups(chain, "a", "b", cell_edges=1_000, watch=watch)
+    assert got.select("group_id").distinct().collect() == [("n0000000",)] and got.count() == n + 1
+    assert cells.count() >= 100 and len(watch) <= 12 and all(y < 0.75 * x for x, y in zip(watch, watch[1:], strict=False))
+
+
+def test_a_hub_is_spread_over_cells(spark):
+    """A third of 60,000 edges have one end in common; no cell holds twice its share."""
+    n = 60_000
+    edges = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.lit("hub")).otherwise(F.format_string("x%06d", F.col("id") % 9_000)).alias("a"), F.format_string("y%06d", "id").alias("b"))
+    cells = in_cells(edges, n, 500).groupBy("row", "column", "part").count()
+    assert cells.agg(F.max("count")).first()[0] <= 1_000 and cells.agg(F.sum("count")).first()[0] == n
+    got = linked_groups(edges, "a", "b", cell_edges=500, hot_rows=1_000)
+    assert got.where("group_id = 'hub'").count() == n // 3 + 1 and got.count() == n + 1 + 6_000
+
+
 def test_linked_groups_of_nothing(spark):
     assert linked_groups(spark.createDataFrame([], "a string, b string"), "a", "b").count() == 0
 
