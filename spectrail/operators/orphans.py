@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrail.operators.skew import HOT_ROWS
+from spectrail.operators.skew import HOT_ROWS, few_hot
 from spectrail.session import bounded, cut
 
 
@@ -72,7 +72,7 @@ def _judge(child: DataFrame, parent: DataFrame, hot_rows: int) -> Groups:
         .otherwise("mixed")
     )
     verdicts = cut(marks.withColumn("base", base).where("n > 0").select("key", "day", "n", verdict.alias("verdict"), "base"))
-    heavy = cut(verdicts.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).select("key"))
+    heavy = few_hot(verdicts.groupBy("key").agg(F.sum("n").alias("n")), "n", hot_rows).select("key")
     return Groups(verdicts, events, heavy)
 
 

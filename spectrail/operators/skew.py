@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrail.session import bounded, cut
+from spectrail.session import BROADCAST_ROWS, bounded, cut
 
 #: A key with more rows than this is hot: its rows are salted instead of meeting in one task.
 HOT_ROWS = 50_000
@@ -13,16 +13,24 @@ HOT_ROWS = 50_000
 SALTS = 16
 
 
+def few_hot(counts: DataFrame, n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows of counts above hot_rows, written out; never more than may be broadcast.
+
+    Where more keys than that are above hot_rows, the limit rises to the rows' share of them: a key below it then holds
+    less than one BROADCAST_ROWS-th of all rows, which is no skew.
+    """
+    hot = cut(counts.where(F.col(n) > hot_rows))
+    size = hot.agg(F.count("*").alias("keys"), F.sum(n).alias("rows")).first()
+    return hot if size.keys <= BROADCAST_ROWS else hot.where(F.col(n) > size.rows // BROADCAST_ROWS)
+
+
 def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than hot_rows rows and their number of parts. counts: one row per key with its exact number of rows.
 
-    At most (all rows / hot_rows) keys come out.
+    At most BROADCAST_ROWS keys come out, so every user may broadcast them.
     """
-    return cut(
-        counts.where(F.col(n) > hot_rows).select(
-            *keys, F.greatest(F.lit(SALTS), F.ceil(F.col(n) / hot_rows)).cast("int").alias("__parts")
-        )
-    )
+    parts = F.greatest(F.lit(SALTS), F.ceil(F.col(n) / hot_rows)).cast("int").alias("__parts")
+    return few_hot(counts, n, hot_rows).select(*keys, parts)
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, salt: Column, how: str = "inner") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the session names in spark.checkpoint.dir; a folder of this machine only where none is set."""
+    """Use the folder that the session names in spark.checkpoint.dir. Where none is set, a local session gets a folder of this machine; a cluster must name a shared one."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spectrail-checkpoint-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spectrail-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder, once, and go on from there: later uses neither recompute it nor depend on an executor."""
+    """Write df to the shared checkpoint folder, once, and go on from there: later uses neither recompute it nor depend on an executor.
+
+    The write runs while a query is put together. Its files go when df does if the session sets
+    spark.cleaner.referenceTracking.cleanCheckpoints; else whoever owns the folder empties it.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
