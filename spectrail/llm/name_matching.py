@@ -1,47 +1,54 @@
-"""Mapping of free-entered organism names to a canonical list.
+"""Mapping of free-entered values to a canonical list.
 
-A multi-pattern automaton over the canonical names and their aliases (turned round, run together, genus abbreviated where
-that is unambiguous) finds mentions embedded in a value; the longest mentions that don't overlap win. Values without one
-go to a token-set similarity: genus and epithet of an entry must both have a similar token in the value, found over an
-index of deletions instead of by comparing with every entry. Distinct values are looked at once.
+A multi-pattern automaton over the canonical names and their aliases (words turned round, run together, the first one
+abbreviated where that is unambiguous) finds mentions embedded in a value; the longest mentions that don't overlap win.
+Values without one go to a token-set similarity: the words of an entry must have similar words in the value, in any
+order; words that the value has besides count for nothing. Candidates come by their rarest words, and similar words by a
+comparison of letter counts, which no edit within the limit can hide. Distinct values are looked at once; a long list goes
+in blocks of BLOCK_ENTRIES entries, of which the best finding of a value is kept.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
+import uuid
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.operators.skew import HOT_ROWS, hot_keys, salted_join
-from spectrail.session import BROADCAST_ROWS, cut
+from spectrail.session import bounded, cut
 
-#: Words between or beside the parts of a name that are none of it.
+#: Words between or beside the parts of a species' name that are none of it.
 QUALIFIERS = frozenset("cf aff x sp spp species indet subsp ssp var ex nr".split())
 #: Digits that stand for letters in misread words.
 MISREAD = str.maketrans({"0": "o", "1": "l", "3": "e", "5": "s", "8": "b"})
 #: Letters of a word that may be wrong, as a part of its length and at most; a word shorter than SHORT must agree.
 WRONG_PART, WRONG_MOST, SHORT = 0.25, 3, 5
+#: Part of an entry's letters that a value may lack, in whole words, if the entry has three words or more.
+LACKING = 0.2
+#: Entries whose automaton and words a worker holds at once, and words whose findings it remembers.
+BLOCK_ENTRIES, REMEMBERED = 20_000, 100_000
 #: Distinct values that one task matches: matching costs far more than its few bytes suggest.
 VALUES_A_TASK = 20_000
 _BRACKETS = re.compile(r"\([^)]*\)|\[[^]]*\]")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def tokens(value: str) -> list[str]:
+def tokens(value: str, qualifiers: frozenset[str] = QUALIFIERS) -> list[str]:
     """The words of a name in plain lower-case letters, without qualifiers."""
     plain = "".join(c for c in unicodedata.normalize("NFKD", _CAMEL.sub(" ", value)) if not unicodedata.combining(c)).casefold()
     words = re.findall(r"[^\W_]+", plain)
     words = [w.translate(MISREAD) if any(c.isalpha() for c in w) else w for w in words]
-    return [w for w in words if w not in QUALIFIERS and not w.isdigit()]
+    return [w for w in words if w not in qualifiers and not w.isdigit()]
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -68,140 +75,205 @@ def allowed(word: str) -> int:
     return 0 if len(word) < SHORT else max(1, min(WRONG_MOST, int(len(word) * WRONG_PART)))
 
 
-def _deletions(word: str, most: int) -> set[str]:
-    """The word and all that is left of it after deleting up to `most` letters."""
-    found, last = {word}, {word}
-    for _ in range(most):
-        last = {w[:k] + w[k + 1 :] for w in last for k in range(len(w))}
-        found |= last
-    return found
+def _letter_counts(word: str) -> np.ndarray:
+    """How often each of 32 classes of letters occurs: any edit changes at most one letter out and one in, a swap none."""
+    return np.bincount([ord(c) & 31 for c in word], minlength=32).astype(np.int16)
 
 
 class SimilarWords:
-    """Finds the words of a list within the allowed number of edits of a given one: such words share a string of both by deletions."""
+    """Finds the words of a list within the allowed number of edits of a given one; no such word is missed."""
 
     def __init__(self, words: set[str]) -> None:
-        self.index: dict[str, list[str]] = defaultdict(list)
-        for w in sorted(words):
-            for d in _deletions(w, allowed(w)):
-                self.index[d].append(w)
-        self.lengths = range(max(SHORT, min(map(len, words), default=0) - WRONG_MOST), max(map(len, words), default=0) + WRONG_MOST + 1)
+        self.words = sorted(words)
+        self.exact = set(words)
+        self.most = np.array([allowed(w) for w in self.words], np.int16)
+        self.counts = np.array([_letter_counts(w) for w in self.words], np.int16).reshape(-1, 32)
         self.known: dict[str, dict[str, int]] = {}
 
     def of(self, word: str) -> dict[str, int]:
         """Similar words with their number of edits."""
         if word not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > REMEMBERED:
                 self.known.clear()
-            # A word may lose as many letters as the longest one that it could stand for.
-            most = allowed(word + "x" * WRONG_MOST)
-            near = {w for d in _deletions(word, most) for w in self.index.get(d, ())} if len(word) in self.lengths else {word} & self.index.keys()
-            self.known[word] = {w: n for w in near if (n := edits(word, w, allowed(w))) <= allowed(w)}
+            # Letters that are missing, and letters too many, are each no more than the edits.
+            apart = self.counts - _letter_counts(word)
+            over = np.maximum(apart, 0).sum(axis=1, dtype=np.int16)
+            under = over - apart.sum(axis=1, dtype=np.int16)
+            near = np.flatnonzero(np.maximum(over, under) <= self.most)
+            self.known[word] = {w: n for w in map(self.words.__getitem__, near) if (n := edits(word, w, allowed(w))) <= allowed(w)}
         return self.known[word]
 
 
+def aliases_of(words: list[str]) -> dict[str, str]:
+    """The forms in which a name of these words may be mentioned, with their kind."""
+    if not words:
+        return {}
+    forms = {" ".join(words): "full"}
+    if len(words) > 1:
+        for form in (" ".join(words[::-1]), " ".join([*words[1:], words[0]]), "".join(words)):
+            forms.setdefault(form, "other")
+        forms.setdefault(" ".join([words[0][0], *words[1:]]), "short")
+    return forms
+
+
 class Matcher:
-    """The canonical list with its automaton and its index of similar words."""
-
-    def __init__(self, entries: list[tuple[int, str]]) -> None:
-        self.names: dict[tuple[str, str], int] = {}
-        short, aliases = defaultdict(set), defaultdict(set)
-        for ref, name in sorted(entries):
-            words = tokens(name or "")
-            if len(words) < 2:
-                continue
-            genus, epithet = words[0], words[1]
-            self.names.setdefault((genus, epithet), ref)
-            short[genus[0], epithet].add(ref)
-            for alias in (" ".join(words), f"{genus} {epithet}", f"{epithet} {genus}", genus + epithet):
-                aliases[alias].add(ref)
-        for (initial, epithet), refs in short.items():
-            aliases[f"{initial} {epithet}"] |= refs
-        self.short = short
+    """A block of the list: its automaton and its similar words.
+
+    entries: (ref, words, whether its abbreviated form names it alone); mentions: (form, ref) that name one entry each.
+    """
+
+    def __init__(self, entries: list[tuple[int, tuple[str, ...], bool]], mentions: list[tuple[str, int]]) -> None:
+        self.key = uuid.uuid4().hex
+        self.entries = sorted(set(entries))
+        self.mentions = sorted(set(mentions))
+
+    def build(self) -> Matcher:
+        """Makes the automaton and the indexes; a worker does so once for each block that it is sent."""
         self.automaton = ahocorasick.Automaton()
-        for alias, refs in aliases.items():
-            if len(refs) == 1:
-                self.automaton.add_word(f" {alias} ", (len(alias), min(refs)))
-        if aliases:
+        for form, ref in self.mentions:
+            self.automaton.add_word(f" {form} ", (len(form), ref))
+        if self.mentions:
             self.automaton.make_automaton()
-        self.aliases = bool(aliases)
-        self.genera, self.epithets = SimilarWords({g for g, _ in self.names}), SimilarWords({e for _, e in self.names})
-        self.joined = SimilarWords({g + e for g, e in self.names})
-        self.parts = {g + e: (g, e) for g, e in self.names}
-
-    def mention(self, words: list[str]) -> tuple[int, float] | None:
-        """The longest mention among those that don't overlap (the first of equally long ones)."""
-        if not words or not self.aliases:
+        counts = Counter(w for _, words, _ in self.entries for w in set(words))
+        self.similar_words = SimilarWords(set(counts))
+        self.joined = SimilarWords({"".join(words) for _, words, _ in self.entries if len(words) > 1})
+        self.whole: dict[str, int] = {}
+        self.by_word: dict[str, list[int]] = defaultdict(list)
+        self.by_second: dict[str, list[int]] = defaultdict(list)
+        for k, (ref, words, short) in enumerate(self.entries):
+            if len(words) > 1:
+                self.whole.setdefault("".join(words), ref)
+                if short:
+                    self.by_second[words[1]].append(k)
+            # A value may lack a word of a long entry, so that has two ways in.
+            for w in sorted(set(words), key=lambda w: (counts[w], -len(w), w))[: 1 if len(words) < 3 else 2]:
+                self.by_word[w].append(k)
+        return self
+
+    def mention(self, words: list[str]) -> tuple[int, int, int] | None:
+        """(letters, place, entry) of the longest mention among those that don't overlap (the first of equally long ones)."""
+        if not words or not self.mentions:
             return None
-        found = sorted((-n, end - n, ref) for end, (n, ref) in self.automaton.iter(f" {' '.join(words)} "))
-        return (found[0][2], 1.0) if found else None
-
-    def similar(self, words: list[str]) -> tuple[int, float] | None:
-        """The entry with the highest token-set similarity, if both its words have a similar one in the value."""
-        best: list[tuple[float, int]] = []
-        for i, a in enumerate(words):
-            for whole, n in self.joined.of(a).items():
-                best.append((n / len(whole), self.names[self.parts[whole]]))
-            for j, b in enumerate(words):
-                if i == j:
-                    continue
-                near = self.epithets.of(b)
-                if not near:
-                    continue
-                for genus, n in self.genera.of(a).items():
-                    for epithet, m in near.items():
-                        if (ref := self.names.get((genus, epithet))) is not None:
-                            best.append(((n / len(genus) + m / len(epithet)) / 2, ref))
-                if len(a) == 1 and j == i + 1:
-                    for epithet, m in near.items():
-                        refs = self.short.get((a, epithet), ())
-                        if len(refs) == 1:
-                            best.append((m / len(epithet) / 2 + 0.1, min(refs)))
-        if not best:
+        found = min(((-n, end - n, ref) for end, (n, ref) in self.automaton.iter(f" {' '.join(words)} ")), default=None)
+        return found and (-found[0], found[1], found[2])
+
+    def _apart(self, entry: int, near: list[dict[str, int]], words: list[str]) -> float | None:
+        """How far the entry is from a value: the mean part of wrong letters of its words, each with a word of the value of its own; None if too many are missing."""
+        _, own, short = self.entries[entry]
+        free = set(range(len(words)))
+        apart, lacking = 0.0, 0
+        for position, w in enumerate(own):
+            best = min(((near[i][w] / len(w), i) for i in free if w in near[i]), default=None)
+            if best is None and position == 0 and short and len(own) > 1:
+                # The first word may be an initial right before the second one.
+                best = min(((0.2, i) for i in free if words[i] == w[0] and i + 1 < len(words) and own[1] in near[i + 1]), default=None)
+            if best is None:
+                lacking += len(w)
+                apart += 1.0
+            else:
+                free.discard(best[1])
+                apart += best[0]
+        if lacking and (len(own) < 3 or lacking > LACKING * sum(map(len, own))):
             return None
-        apart, ref = min(best)
-        return ref, 1 - apart
+        return apart / len(own)
+
+    def similar(self, words: list[str]) -> tuple[float, int] | None:
+        """(distance, entry) of the entry with the highest token-set similarity."""
+        near = [self.similar_words.of(w) for w in words]
+        best = [(n / len(whole), self.whole[whole]) for w in words for whole, n in self.joined.of(w).items()]
+        for entry in {k for found in near for w in found for k in self.by_word.get(w, ())}:
+            if (apart := self._apart(entry, near, words)) is not None:
+                best.append((apart, self.entries[entry][0]))
+        if not best and any(len(w) == 1 for w in words):
+            # Only the abbreviated word is rare: come by the next one.
+            for entry in {k for found in near for w in found for k in self.by_second.get(w, ())}:
+                if (apart := self._apart(entry, near, words)) is not None:
+                    best.append((apart, self.entries[entry][0]))
+        return min(best, default=None)
 
-    def match(self, value: str | None) -> tuple[int, str, float]:
-        """(entry or -1, way, similarity) of a value."""
+    def match(self, value: str | None, qualifiers: frozenset[str] = QUALIFIERS) -> tuple[int, str, float, float]:
+        """(entry or -1, way, similarity, order) of a value; of findings in several blocks the one with the lowest order is right."""
         if value:
-            for words in (tokens(value), tokens(_BRACKETS.sub(" ", value))):
+            whole, bare = tokens(value, qualifiers), tokens(_BRACKETS.sub(" ", value), qualifiers)
+            for k, words in enumerate((whole, bare)):
                 if found := self.mention(words):
-                    return found[0], "mention", 1.0
-            for words in (tokens(_BRACKETS.sub(" ", value)), tokens(value)):
+                    # The longest first, then the first in the value: a mention has fewer than 10^6 letters and places.
+                    return found[2], "mention", 1.0, k * 1e13 + (1e6 - min(found[0], 999_999)) * 1e6 + min(found[1], 999_999)
+            for k, words in enumerate((bare, whole)):
                 if found := self.similar(words):
-                    return found[0], "similar", found[1]
-        return -1, "none", 0.0
+                    return found[1], "similar", 1 - found[0], 1e14 + k * 1e13 + found[0]
+        return -1, "none", 0.0, 1e15
 
 
-@lru_cache(maxsize=2)
-def _matcher(entries: tuple[tuple[int, str], ...]) -> Matcher:
-    return Matcher(list(entries))
+_WORKER: dict[str, Matcher] = {}
 
 
-def match_names(df: DataFrame, row_id: str, value: str, canon: DataFrame, ref_id: str, name: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(row_id, value, ref_id, way, similarity) for each row whose value is neither null nor empty nor itself a name of the list.
+def _worker_matcher(shared: Broadcast) -> Matcher:
+    """This worker's matcher of the block that it was sent."""
+    block = shared.value
+    if block.key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[block.key] = block.build()
+    return _WORKER[block.key]
 
-    ref_id is -1 for values that name no entry: no organism, a genus alone, or a species that the list lacks. An
-    abbreviated genus counts if one entry fits. Equal values are matched once, so a value in a third of all rows costs no
-    more; rows meet their value's match in a salted join. Long values are used whole; an empty list matches nothing, an
-    empty table gives an empty result. The list must be small: its rows are broadcast and their number is checked.
-    """
-    entries = tuple((r.i, r.n) for r in canon.select(F.col(ref_id).cast("long").alias("i"), F.col(name).alias("n")).where("n IS NOT NULL").limit(BROADCAST_ROWS + 1).collect())
-    if len(entries) > BROADCAST_ROWS:
-        raise ValueError(f"a canonical list of more than {BROADCAST_ROWS} entries must be given in parts")
-    exact = canon.select(F.col(name).alias("v")).where("v IS NOT NULL").distinct()
-    rows = df.select(F.col(row_id).alias("i"), F.col(value).alias("v")).where("v IS NOT NULL AND v <> ''").join(F.broadcast(exact), "v", "left_anti")
-    counts = cut(rows.groupBy("v").agg(F.count("*").alias("n")))
-    shared: Broadcast = df.sparkSession.sparkContext.broadcast(entries)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared.value)
+
+def _forms(entries: DataFrame, qualifiers: frozenset[str]) -> DataFrame:
+    """(ref, words, form, kind) of each name of the list."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            refs, ways, sure = zip(*[matcher.match(v) for v in batch.column(0).to_pylist()], strict=True) if batch.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(refs, pa.int64()), pa.array(ways, pa.string()), pa.array(sure, pa.float64())], names=["v", "ref", "way", "similarity"])
+            rows = [(ref, words, form, kind) for ref, name in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (words := tokens(name, qualifiers)) for form, kind in aliases_of(words).items()]
+            ref, words, form, kind = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(words, pa.list_(pa.string())), pa.array(form, pa.string()), pa.array(kind, pa.string())], names=["ref", "words", "form", "kind"])
+
+    return entries.mapInArrow(spell, "ref long, words array<string>, form string, kind string")
+
+
+def list_blocks(canon: DataFrame, ref_id: str, name: str, block_entries: int = BLOCK_ENTRIES, qualifiers: frozenset[str] = QUALIFIERS) -> Iterator[Matcher]:
+    """The canonical list in blocks of about block_entries entries, one after the other; only one is on the driver at a time.
+
+    Several rows of one ref are aliases of it. A form that is the full name of an entry names that one (the smallest ref
+    of several); any other form that fits several entries names none.
+    """
+    entries = canon.select(F.col(ref_id).cast("long").alias("ref"), F.col(name).alias("name")).where("ref IS NOT NULL AND name IS NOT NULL")
+    forms = cut(_forms(entries, qualifiers))
+    named = forms.groupBy("form").agg(F.min(F.when(F.col("kind") == "full", F.col("ref"))).alias("own"), F.min("ref").alias("low"), F.max("ref").alias("high"))
+    named = cut(named.withColumn("ref", F.coalesce("own", F.when(F.col("low") == F.col("high"), F.col("low")))).where("ref IS NOT NULL").select("form", "ref"))
+    short = forms.where("kind = 'short'").select("form", "ref", "words").join(named, ["form", "ref"], "left_semi").select("ref", "words").distinct().withColumn("short", F.lit(True))
+    whole = cut(forms.where("kind = 'full'").select("ref", "words").distinct().join(short, ["ref", "words"], "left"))
+    blocks = max(1, ceil(whole.count() / block_entries))
+    block = F.pmod(F.xxhash64("ref"), F.lit(blocks))
+    for k in range(blocks):
+        rows = whole.where(block == k).collect()
+        yield Matcher([(r.ref, tuple(r.words), bool(r.short)) for r in rows], [(r.form, r.ref) for r in named.where(block == k).collect()])
 
+
+def match_names(
+    df: DataFrame, row_id: str, value: str, canon: DataFrame, ref_id: str, name: str, hot_rows: int = HOT_ROWS, block_entries: int = BLOCK_ENTRIES, qualifiers: frozenset[str] = QUALIFIERS
+) -> DataFrame:
+    """(row_id, value, ref_id, way, similarity) for each row whose value is neither null nor empty nor itself a name of the list.
+
+    ref_id is -1 for values that name no entry, such as part of a two-word one. Names of the list may have any number of
+    words, share words and come in any number. Of equally similar entries the smallest ref wins. Equal values are matched
+    once, so a value in a third of all rows costs no more; rows meet their value's match in a salted join. Long values are
+    used whole; an empty list matches nothing, an empty table gives an empty result. qualifiers: words to leave out.
+    """
+    rows = df.select(F.col(row_id).alias("i"), F.col(value).alias("v")).where("v IS NOT NULL AND v <> ''")
+    exact = bounded(cut(canon.select(F.col(name).alias("v")).where("v IS NOT NULL").distinct()))
+    counts = cut(rows.groupBy("v").agg(F.count("*").alias("n")).join(exact, "v", "left_anti"))
     tasks = max(2 * df.sparkSession.sparkContext.defaultParallelism, ceil(counts.count() / VALUES_A_TASK))
-    matched = cut(counts.select("v").repartition(tasks).mapInArrow(scan, "v string, ref long, way string, similarity double"))
-    found = salted_join(rows, matched, ["v"], hot_keys(counts, ["v"], "n", hot_rows), F.col("i").cast("int"))
-    return found.select(F.col("i").alias(row_id), F.col("v").alias(value), F.col("ref").alias(ref_id), "way", "similarity")
+    values, found = counts.select("v").repartition(tasks), None
+    for block in list_blocks(canon, ref_id, name, block_entries, qualifiers):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            matcher = _worker_matcher(shared)
+            for batch in batches:
+                refs, ways, sure, order = zip(*[matcher.match(v, qualifiers) for v in batch.column(0).to_pylist()], strict=True) if batch.num_rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(refs, pa.int64()), pa.array(ways, pa.string()), pa.array(sure, pa.float64()), pa.array(order, pa.float64())], names=["v", "ref", "way", "similarity", "order"])
+
+        part = cut(values.mapInArrow(scan, "v string, ref long, way string, similarity double, order double"))
+        shared.unpersist()
+        found = part if found is None else cut(found.unionByName(part).groupBy("v").agg(F.min(F.struct("order", "ref", "way", "similarity")).alias("b")).select("v", "b.ref", "b.way", "b.similarity", "b.order"))
+    joined = salted_join(rows, found.drop("order"), ["v"], hot_keys(counts, ["v"], "n", hot_rows), F.col("i").cast("int"))
+    return joined.select(F.col("i").alias(row_id), F.col("v").alias(value), F.col("ref").alias(ref_id), "way", "similarity")

@@ -8,13 +8,24 @@ import pytest
 
 from spectrail.llm.contamination import ALTERED, EXACT_WORDS, PASSAGE_WORDS, ItemIndex, Words, canonical_word, fewest_edits, find_leaks, leaks_of
 from spectrail.llm.language import CODES, HOLE, Model, Parser, clean_text, cross_parse, find_segments, fit, label_code, letters_of, model_of, segments_of
-from spectrail.llm.name_matching import Matcher, edits, match_names, tokens
+from spectrail.llm.name_matching import Matcher, SimilarWords, aliases_of, allowed, edits, match_names, tokens
 from spectrail.llm.tokenizer import TOKENIZERS, PerfectHash, encode_corpus, encoder, read_vocabulary
 
 REFERENCE = [(1, "Alpina montana"), (2, "Alpina rubrifolia"), (3, "Borealis montana"), (4, "Cirrus vulgariformis")]
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 
 
+def _matcher(entries):
+    """The matcher of a small list, put together without tables."""
+    forms: dict = {}
+    for ref, name in entries:
+        for form, kind in aliases_of(tokens(name)).items():
+            forms.setdefault(form, []).append((kind != "full", ref))
+    named = {f: min(x)[1] for f, x in forms.items() if not min(x)[0] or len({r for _, r in x}) == 1}
+    short = lambda ref, w: len(w) > 1 and named.get(" ".join([w[0][0], *w[1:]])) == ref
+    return Matcher([(r, tuple(tokens(n)), short(r, tokens(n))) for r, n in entries if tokens(n)], list(named.items())).build()
+
+
 @pytest.mark.parametrize(
     ("value", "ref"),
     [
@@ -24,11 +35,11 @@ RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     ],
 )
 def test_names(value, ref):
-    assert Matcher(REFERENCE).match(value)[0] == ref
+    assert _matcher(REFERENCE).match(value)[0] == ref
 
 
 def test_joined_names_may_be_wrong_as_far_as_words():
-    matcher = Matcher(REFERENCE)
+    matcher = _matcher(REFERENCE)
     for joined in ("Cirus vulgarifromes", "Cirrsu vulgrifromis", "Alpima rubrifolla"):
         assert matcher.match(joined)[0] == matcher.match(joined.replace(" ", "").lower())[0] > 0
     for value in ("cirusvulgarifromes", "cirrsuvulgrifromis", "alpimarubrfolla"):
@@ -36,6 +47,47 @@ def test_joined_names_may_be_wrong_as_far_as_words():
     assert matcher.match("cirvulgaifroms")[0] == -1
 
 
+TITLES = [(1, "Paris"), (2, "London"), (3, "New London"), (4, "New London Bay"), (5, "Senior Software Engineer"), (6, "Software Engineer"), (7, "Software Engineer in Test"), (8, "Frankfurt am Main"), (8, "Frankfort"), (9, "Rome"), (10, "Bern"), (11, "Saint-Denis"), (12, "Saint Denis")]
+
+
+@pytest.mark.parametrize(
+    ("value", "ref"),
+    [
+        ("paris", 1), ("Paris, France", 1), ("Pariss", 1), ("LONDON (UK)", 2), ("new london", 3), ("London New", 3), ("New London Bay area", 4), ("Lodnon", 2), ("engineer, software", 6), ("software engineer (senior)", 5),
+        ("Sr. senior software enginer", 5), ("Software Engineer in Test", 7), ("Frankfurt Main", 8), ("frankfort", 8), ("Frankfurtammain", 8), ("Rom", -1), ("Berne", -1), ("Berlin", -1), ("St Denis", -1), ("saint denis", 11),
+    ],
+)
+def test_any_list(value, ref):
+    """Entries of one to four words that share words and beginnings."""
+    assert _matcher(TITLES).match(value)[0] == ref
+
+
+def test_similar_words_equal_brute_force():
+    rng = random.Random(8)
+    words = {"".join(rng.choice("abcde") for _ in range(rng.randrange(3, 14))) for _ in range(400)}
+    found = SimilarWords(words)
+    n = 0
+    for w in sorted(words)[::3]:
+        typed = list(w)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(typed))
+            typed[k : k + rng.randrange(3)] = rng.sample("abcdexyz", rng.randrange(3))
+            typed = typed or ["a"]
+        own = found.of("".join(typed))
+        assert own == {x: e for x in words if (e := edits("".join(typed), x, 9)) <= allowed(x)}
+        n += len(own)
+    assert n > 60
+
+
+def test_blocks_of_the_list_agree(spark):
+    """A list in blocks of two entries gives what it gives whole."""
+    values = ["paris", "London (New)", "new london bay", "engineer software", "software engineer in test lab", "frankfurt main", "lodnon", "nothing", "saint denis", "Softwareengineer", "new londn bay"]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, name string")
+    canon = spark.createDataFrame(TITLES, "ref long, name string")
+    got = [sorted(map(tuple, match_names(df, "id", "name", canon, "ref", "name", block_entries=n).select("id", "ref", "way").collect())) for n in (2, 100)]
+    assert got[0] == got[1] and [r for _, r, _ in got[1]] == [1, 3, 4, 6, 7, 8, 2, -1, 11, 6, 4]
+
+
 def test_name_parts():
     assert tokens("Álpina cf. ru8ra 12") == ["alpina", "rubra"]
     assert edits("abcd", "abdc", 2) == 1 and edits("abc", "xyz", 2) == 3
