@@ -63,7 +63,9 @@ def weights_of_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def community_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities(_mass_edges(spark, sf_dir).withColumn("w", 1 / (1 + F.col("delta"))), "feature_id", "feature_id_dest", "w")
+    """Communities by the weights of the edges, of the resolution with the best modularity."""
+    edges = edge_weights(_mass_edges(spark, sf_dir).select("feature_id", "feature_id_dest", (1 / (1 + F.col("delta"))).alias("s"), F.lit(1.0).alias("m"), F.lit(1.0).alias("p")), "s", "m", "p")
+    return communities(edges, "feature_id", "feature_id_dest", "weight")
 
 
 def state_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,6 +374,12 @@ SELECT k, tp, fp, fn, tn, round(tp / m, 6) AS hit_rate, round(CASE WHEN sqrt((tp
     "reliability_levels": f"WITH {_C} SELECT candidate_id, CASE WHEN score_weighted_chemo >= 1 THEN '1' WHEN score_weighted_chemo >= 0.75 THEN '2' WHEN score_weighted_chemo >= 0.5 THEN '3' ELSE '4' END AS reliability FROM c",
     "annotation_stats": f"""WITH {_C} SELECT candidate_library, count(*) AS n, count(DISTINCT feature_id) AS n_features, count(DISTINCT l) AS n_structures, round(quantile_cont(score_weighted_chemo, 0.5), 6) AS median_score, max(candidate_score_similarity) AS best, bool_or(candidate_score_similarity > 0.95) AS any_high FROM c GROUP BY 1""",
 }
+_ROUNDS = ", ".join(
+    f"""d{k} AS MATERIALIZED (SELECT f, quantile_cont(delta, 0.5) AS v FROM (SELECT a AS f, delta FROM m{k - 1} UNION ALL SELECT b, delta FROM m{k - 1}) GROUP BY f),
+m{k} AS MATERIALIZED (SELECT m.* FROM m{k - 1} m JOIN d{k} p ON m.a = p.f JOIN d{k} q ON m.b = q.f WHERE abs(delta - p.v) <= 60 AND abs(delta - q.v) <= 60)"""
+    for k in range(1, 11)
+)
+SQL["mass_consistency_stable"] = f"WITH {_M}, m0 AS MATERIALIZED (SELECT * FROM m), {_ROUNDS} SELECT hypothesis_id FROM m10"
 SQL["clique_propagation"] = f"""WITH RECURSIVE {_E}, {_REACH}, k AS (SELECT feature_id, {LAYER} AS s, candidate_structure_error_mz AS m FROM clean_chemo WHERE feature_id IS NOT NULL AND score_weighted_chemo >= 0.97),
 known AS (SELECT DISTINCT c, s, m FROM k JOIN comp ON k.feature_id = comp.f),
 o AS (SELECT DISTINCT x.feature_id, candidate_structure_error_mz AS m, c FROM clean_chemo x JOIN comp ON x.feature_id = comp.f WHERE x.feature_id NOT IN (SELECT feature_id FROM k))

@@ -48,8 +48,17 @@ def intensity_vectors(long: DataFrame, row_id: str, sample: str, intensity: str)
 
 
 def normalize_rt(df: DataFrame, rt: str) -> DataFrame:
-    """Retention times in minutes: seconds are assumed if the smallest exceeds 2, the 95th percentile 45 or the largest 180."""
-    one = df.agg((F.coalesce((F.min(rt) > 2) | (F.percentile(rt, 0.95) > 45) | (F.max(rt) > 180), F.lit(False))).alias("__seconds"))
+    """Retention times in minutes: seconds are assumed if the smallest exceeds 2, the 95th percentile 45 or the largest 180.
+
+    Whether the (interpolated) percentile exceeds 45 follows from how many values don't, and from the two next to 45: one
+    aggregation that combines map-side.
+    """
+    low = F.col(rt) <= 45
+    one = df.agg(F.min(rt).alias("least"), F.max(rt).alias("most"), F.count(rt).alias("n"), F.count(F.when(low, 1)).alias("k"), F.max(F.when(low, F.col(rt))).alias("below"), F.min(F.when(~low, F.col(rt))).alias("above"))
+    place = 0.95 * (F.col("n") - 1)
+    between = F.col("below") + (F.col("above") - F.col("below")) * (place - F.floor(place)) > 45
+    high = F.when(F.col("k") <= F.floor(place), F.lit(True)).when(F.col("k") >= F.ceil(place) + 1, F.lit(False)).otherwise(between)
+    one = one.select(F.coalesce((F.col("least") > 2) | high | (F.col("most") > 180), F.lit(False)).alias("__seconds"))
     return df.crossJoin(F.broadcast(one)).withColumn(rt, F.when(F.col("__seconds"), F.col(rt) / 60).otherwise(F.col(rt))).drop("__seconds")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spectrail.session import bounded, cut
+from spectrail.operators.skew import HOT_ROWS, hot_keys
+from spectrail.session import BROADCAST_ROWS, bounded, cut
 
 
 @dataclass(frozen=True)
@@ -30,15 +33,17 @@ class Tolerance:
         return F.abs(a - b) <= self.window(F.greatest(a, b))
 
 
-def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, on: list[str] | None = None, how: str = "inner") -> DataFrame:
+def range_join(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, on: list[str] | None = None, how: str = "inner", also: Column | None = None) -> DataFrame:
     """Rows of points with low <= value <= high of ranges, and equal columns `on`.
 
     A point lies in one bucket of the given width and a range in all that it touches, so this is a hash or merge join on
     the bucket (and `on`) with the exact condition on top; no pair is met twice. width should be about the length of the
-    longest range. how: inner, or left_semi (points that lie in some range). Columns must differ but for `on`. Nulls match nothing.
+    longest range. how: inner, or left_semi (points that lie in some range). also: a further condition on a pair. Columns
+    must differ but for `on`. Nulls match nothing. A crowded bucket is a skewed part of a sort-merge join, which AQE splits.
     """
     on = on or []
     inside = (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
+    inside = inside if also is None else inside & also
     a = points.withColumn("__bucket", F.floor(F.col(value) / width))
     b = ranges.where(F.col(low) <= F.col(high)).withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
     if how == "left_semi":
@@ -60,27 +65,62 @@ def ranges_hit(ranges: DataFrame, points: DataFrame, value: str, low: str, high:
     return hit.select(*ranges.columns).dropDuplicates()
 
 
-def nearest_join(points: DataFrame, targets: DataFrame, value: str, target: str, width: float = 1.0) -> DataFrame:
-    """points with `nearest`, the target value closest to `value` (the lower of two equally close ones); null if there is none.
+def _nearest_of_few(points: DataFrame, targets: DataFrame, value: str) -> DataFrame:
+    """points with `nearest` of a bounded number of targets (__t): each Arrow batch is searched in the sorted array, nothing is shuffled."""
+    known = np.sort(np.array([r[0] for r in targets.collect()], np.float64))
+    shared = points.sparkSession.sparkContext.broadcast(known)
 
-    Both sides are cut into buckets. Within a bucket, one pass in order of value remembers the last target and the next
-    one; a small table of the buckets' extremes gives the neighbours beyond. No point meets more than four targets.
+    @F.pandas_udf("double")
+    def nearest(column: pd.Series) -> pd.Series:
+        held, v = shared.value, column.to_numpy(np.float64, na_value=np.nan)
+        if not len(held):
+            return pd.Series([None] * len(v), dtype="float64")
+        at = np.searchsorted(held, v)
+        below, above = held[np.clip(at - 1, 0, len(held) - 1)], held[np.clip(at, 0, len(held) - 1)]
+        return pd.Series(np.where(np.isnan(v), np.nan, np.where(np.abs(v - below) <= np.abs(above - v), below, above)))
+
+    found = points.withColumn("nearest", nearest(F.col(value).cast("double")))
+    return found.withColumn("nearest", F.when(~F.isnan("nearest"), F.col("nearest")))
+
+
+def nearest_join(points: DataFrame, targets: DataFrame, value: str, target: str, width: float = 1.0, on: list[str] | None = None, few: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """points with `nearest`, the target value closest to `value` (the lower of two equally close ones) among those with equal columns `on`; null if there is none.
+
+    Few targets without `on` are searched in memory. Else both sides are cut into buckets: within a bucket one pass in
+    order of value remembers the last target and the next one, and a table of the buckets' extremes, itself carried on by
+    blocks of buckets, gives the neighbours beyond. Buckets that hold many points are salted, their targets repeated. No
+    point meets more than four targets. Null and NaN values have no nearest target; null in `on` matches nothing.
     """
-    t = targets.select(F.col(target).cast("double").alias("__t")).where(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).distinct()
+    on = on or []
+    number = F.col(target).cast("double")
+    t = targets.select(*on, number.alias("__t")).where(number.isNotNull() & ~F.isnan(number)).distinct()
+    if not on:
+        t = cut(t)
+        if t.count() <= few:
+            return _nearest_of_few(points, t, value)
+    bucket = [*on, "__bucket"]
     t = t.withColumn("__bucket", F.floor(F.col("__t") / width))
-    ends = cut(t.groupBy("__bucket").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last")))
-    p = points.withColumn("__v", F.col(value).cast("double")).withColumn("__bucket", F.floor(F.col("__v") / width))
-    held = p.select("__bucket").where(F.col("__bucket").isNotNull()).distinct()
-    # One row per bucket in use; the window over them all is as small as the range of values divided by the width.
-    line = held.join(ends, "__bucket", "full")
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
-    line = cut(line.select("__bucket", F.last("__last", True).over(before).alias("__below"), F.first("__first", True).over(after).alias("__above")))
-    own = Window.partitionBy("__bucket").orderBy("__v", F.col("__t").isNull())
-    both = p.withColumn("__t", F.lit(None).cast("double")).unionByName(t.withColumn("__v", F.col("__t")), allowMissingColumns=True)
-    both = both.withColumn("__is_point", F.col("__t").isNull())
-    both = both.withColumn("__lower", F.last("__t", True).over(own.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__upper", F.first("__t", True).over(own.rowsBetween(0, Window.unboundedFollowing)))
-    found = both.where("__is_point").join(bounded(line), "__bucket", "left")
+    ends = cut(t.groupBy(*bucket).agg(F.min("__t").alias("__first"), F.max("__t").alias("__last")))
+    own = F.col(value).cast("double")
+    p = points.withColumn("__v", F.when(~F.isnan(own), own)).withColumn("__bucket", F.floor(F.col("__v") / width))
+    held = p.where(F.col("__bucket").isNotNull()).groupBy(*bucket).agg(F.count("*").alias("__n"))
+    hot = bounded(hot_keys(held, bucket, "__n", hot_rows).withColumnRenamed("__parts", "__many"))
+    # One row per bucket in use, in blocks of 1,000 buckets; one row per block above them.
+    line = held.select(*bucket).join(ends, bucket, "full").withColumn("__block", F.floor(F.col("__bucket") / 1_000))
+    block = line.groupBy(*on, "__block").agg(F.min("__first").alias("__f"), F.max("__last").alias("__l"))
+    whole = Window.partitionBy(*on).orderBy("__block")
+    beside = block.select(*on, "__block", F.max("__l").over(whole.rowsBetween(Window.unboundedPreceding, -1)).alias("__lb"), F.min("__f").over(whole.rowsBetween(1, Window.unboundedFollowing)).alias("__fa"))
+    inner = Window.partitionBy(*on, "__block").orderBy("__bucket")
+    before, after = inner.rowsBetween(Window.unboundedPreceding, -1), inner.rowsBetween(1, Window.unboundedFollowing)
+    line = line.select(*bucket, "__block", F.max("__last").over(before).alias("__below"), F.min("__first").over(after).alias("__above")).join(beside, [*on, "__block"])
+    line = cut(line.select(*bucket, F.coalesce("__below", "__lb").alias("__below"), F.coalesce("__above", "__fa").alias("__above")))
+    parts = F.coalesce(F.col("__many"), F.lit(1))
+    p = p.join(hot, bucket, "left").withColumn("__part", F.pmod(F.xxhash64(*points.columns), parts)).drop("__many")
+    t = t.join(hot, bucket, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long")))).drop("__many")
+    run = Window.partitionBy(*bucket, "__part").orderBy("__v", F.col("__t").isNull())
+    both = p.withColumn("__t", F.lit(None).cast("double")).unionByName(t.withColumn("__v", F.col("__t")), allowMissingColumns=True).withColumn("__is_point", F.col("__t").isNull())
+    both = both.withColumn("__lower", F.last("__t", True).over(run.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__upper", F.first("__t", True).over(run.rowsBetween(0, Window.unboundedFollowing)))
+    found = both.where("__is_point").join(bounded(line), bucket, "left")
     near = F.array_compact(F.array("__lower", "__upper", "__below", "__above"))
     best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(x - F.col("__v")).alias("d"), x.alias("t"))))
     return found.withColumn("nearest", F.when(F.col("__v").isNotNull(), best["t"])).select(*points.columns, "nearest")

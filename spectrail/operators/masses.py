@@ -9,7 +9,7 @@ from spectrail.operators.adducts import ELECTRON
 from spectrail.operators.graph import connected_components, peer_support
 from spectrail.operators.intervals import Tolerance, gap_cluster, range_join
 from spectrail.operators.keys import first_row, union_all
-from spectrail.session import bounded, cut
+from spectrail.session import cut
 
 #: Order in which sources of a hypothesis are trusted.
 SOURCES = ["preassigned", "pair", "evidence", "cluster", "loss", "multi", "baseline"]
@@ -92,11 +92,17 @@ def prune_by_support(candidates: DataFrame) -> DataFrame:
 def propagate_in_components(annotations: DataFrame, components: DataFrame, masses: DataFrame, tolerance: Tolerance) -> DataFrame:
     """Structures of a component's annotated features for its other features of the same mass.
 
-    annotations: feature_id, structure, mass; components: feature_id, component; masses: feature_id, mass of features to fill.
+    annotations: feature_id, structure, mass; components: feature_id, component; masses: feature_id, mass of features to
+    fill. Masses meet in a range join within the component, so a large component isn't paired with itself.
     """
-    known = annotations.join(components, "feature_id").select("component", "structure", F.col("mass").alias("__mass")).distinct()
+    known = annotations.join(components, "feature_id").select("component", "structure", F.col("mass").alias("__mass")).where("__mass IS NOT NULL").distinct()
+    # Twice the window holds both ways of relating a relative limit; the exact condition follows.
+    reach = 2 * tolerance.window(F.abs("__mass"))
+    known = known.withColumn("__low", F.col("__mass") - reach).withColumn("__high", F.col("__mass") + reach)
     other = masses.join(annotations.select("feature_id"), "feature_id", "left_anti").join(components, "feature_id")
-    return other.join(known, "component").where(tolerance.holds(F.col("mass"), F.col("__mass"))).select("feature_id", "structure", "mass").distinct()
+    width = max(4 * tolerance.dalton, 4e-6 * tolerance.ppm * 1_000)
+    met = range_join(other, known, "mass", "__low", "__high", width, on=["component"], also=tolerance.holds(F.col("mass"), F.col("__mass")))
+    return met.select("feature_id", "structure", "mass").distinct()
 
 
 def agreeing_annotations(annotations: DataFrame, edges: DataFrame, safe: list[str]) -> DataFrame:
@@ -124,4 +130,4 @@ def output_edges(labelled: list[tuple[str, DataFrame]], features: DataFrame) ->
 
 def structures_of_masses(matches: DataFrame, library: DataFrame, tag: str) -> DataFrame:
     """Rows per structure of each matched mass, tagged with the library's name."""
-    return matches.join(bounded(library), "exact_mass").withColumn("candidate_library", F.lit(tag)).distinct()
+    return matches.join(library, "exact_mass").withColumn("candidate_library", F.lit(tag)).distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import weighted_sum
+from spectrail.operators.intervals import nearest_join, range_join
 from spectrail.operators.keys import first_row
 
 LAYER = "candidate_structure_inchikey_connectivity_layer"
@@ -155,18 +156,22 @@ def without_redundant_ms1(ms1: DataFrame, spectral: DataFrame, least_similarity:
 def best_rt_match(df: DataFrame, library: DataFrame, tie: list[str]) -> DataFrame:
     """Adds candidate_structure_error_rt, the smallest difference to the library's times of the structure; null without any. No limit applies.
 
-    df: feature_id, rt, structure layer, candidate_library; library: structure layer, rt.
+    df: feature_id, rt, structure layer, candidate_library; library: structure layer, rt. Each row meets the nearest time
+    alone, not all of its structure. Of two equally near times the lower one counts, of equal rows the first by tie.
     """
-    targets = library.select(LAYER, F.col("rt").alias("__target")).where("__target IS NOT NULL").distinct()
-    error = df.join(targets, LAYER, "left").withColumn("candidate_structure_error_rt", F.col("rt") - F.col("__target"))
-    return first_row(error, ["feature_id", LAYER, "candidate_library"], [F.abs("candidate_structure_error_rt").asc_nulls_last(), F.col("__target").asc_nulls_last(), *[F.asc(c) for c in tie]]).drop("__target")
+    near = nearest_join(df.where(F.col(LAYER).isNotNull()), library.where("rt IS NOT NULL").select(LAYER, F.col("rt").alias("__rt")), "rt", "__rt", 1.0, on=[LAYER])
+    near = near.unionByName(df.where(F.col(LAYER).isNull()).withColumn("nearest", F.lit(None).cast("double"))).withColumn("candidate_structure_error_rt", F.col("rt") - F.col("nearest"))
+    return first_row(near, ["feature_id", LAYER, "candidate_library"], [F.abs("candidate_structure_error_rt").asc_nulls_last(), F.col("nearest").asc_nulls_last(), *[F.asc(c) for c in tie]]).drop("nearest")
 
 
 def match_anchors(df: DataFrame, anchors: DataFrame, mass: float = 0.005, rt: float = 0.15) -> DataFrame:
-    """Rows with an anchor of another feature and the same structure, of nearly the same mass and, if the anchor has one, time."""
-    a = anchors.select(F.col("structure").alias("__s"), F.col("feature_id").alias("__f"), F.col("mass").alias("__m"), F.col("rt").alias("__rt"))
-    near = (F.col("structure") == F.col("__s")) & (F.col("feature_id") != F.col("__f")) & (F.abs(F.col("mass") - F.col("__m")) <= mass)
-    return df.join(a, near & (F.col("__rt").isNull() | (F.abs(F.col("rt") - F.col("__rt")) <= rt)), "left_semi")
+    """Rows with an anchor of another feature and the same structure, of nearly the same mass and, if the anchor has one, time.
+
+    df and anchors: structure, feature_id, mass, rt. Masses meet in a range join within the structure.
+    """
+    a = anchors.select("structure", F.col("feature_id").alias("__f"), (F.col("mass") - mass).alias("__low"), (F.col("mass") + mass).alias("__high"), F.col("rt").alias("__rt")).distinct()
+    also = (F.col("feature_id") != F.col("__f")) & (F.col("__rt").isNull() | (F.abs(F.col("rt") - F.col("__rt")) <= rt))
+    return range_join(df, a, "mass", "__low", "__high", 2 * mass, on=["structure"], how="left_semi", also=also)
 
 
 def adduct_semantics(annotations: DataFrame, states: DataFrame, ppm: float, dalton: float) -> DataFrame:

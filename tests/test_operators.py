@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from spectrail.functions.scalars import chemont_id, collapse_names, pseudo_initial, reliability_to_score, sigmoid, weighted_sum
 from spectrail.functions.special import incomplete_beta
 from spectrail.operators.features import intensity_columns, normalize_rt, top_samples
-from spectrail.operators.graph import assigned_states, connected_components, consistent_pairs, edges_in_state, louvain, peer_support
+from spectrail.operators.graph import assigned_states, communities, connected_components, consistent_pairs, edges_in_state, peer_support, pruned_communities
 from spectrail.operators.intervals import Tolerance, gap_cluster, nearest_join, range_join
 from spectrail.operators.keys import conform, first_row, null_safe_join
 from spectrail.operators.scoring import cap_ties, cluster_consensus, filter_ms1, high_evidence, rank_candidates
@@ -34,9 +34,16 @@ def test_nearest_join_prefers_lower_of_equals(spark):
     rng = random.Random(2)
     targets = [rng.randrange(0, 60) + 0.5 for _ in range(12)] + [200.0, None]
     points = [(i, rng.randrange(0, 80) * 1.0) for i in range(60)] + [(900, None), (901, -50.0), (902, 500.0)]
-    got = {r.i: r.nearest for r in nearest_join(spark.createDataFrame(points, "i int, v double"), spark.createDataFrame([(t,) for t in targets], "t double"), "v", "t", 4.0).collect()}
     known = [t for t in targets if t is not None]
-    assert got == {i: None if v is None else min(known, key=lambda t: (abs(t - v), t)) for i, v in points}
+    for few, hot in ((100, 50), (0, 50), (0, 3)):
+        got = {r.i: r.nearest for r in nearest_join(spark.createDataFrame(points, "i int, v double"), spark.createDataFrame([(t,) for t in targets], "t double"), "v", "t", 4.0, few=few, hot_rows=hot).collect()}
+        assert got == {i: None if v is None else min(known, key=lambda t: (abs(t - v), t)) for i, v in points}
+    far = {r.i: r.nearest for r in nearest_join(spark.createDataFrame(points, "i int, v double"), spark.createDataFrame([(-9e5,), (9e5,)], "t double"), "v", "t", 0.01, few=0).collect()}
+    assert far == {i: None if v is None else (-9e5 if v <= 0 else 9e5) for i, v in points}
+    keyed = [(i, "ab"[i % 2], v) for i, v in points]
+    own = spark.createDataFrame([("ab"[k % 2], t) for k, t in enumerate(known)], "s string, t double")
+    got = {r.i: r.nearest for r in nearest_join(spark.createDataFrame(keyed, "i int, s string, v double"), own, "v", "t", 4.0, on=["s"], hot_rows=3).collect()}
+    assert got == {i: None if v is None else min((t for k, t in enumerate(known) if "ab"[k % 2] == s), key=lambda t: (abs(t - v), t)) for i, s, v in keyed}
     none = nearest_join(spark.createDataFrame(points[:2], "i int, v double"), spark.createDataFrame([], "t double"), "v", "t")
     assert [r.nearest for r in none.collect()] == [None, None]
 
@@ -90,8 +97,15 @@ def test_components_equal_union_find(spark):
         if a and b:
             ra, rb = sorted((find(a), find(b)))
             parent[rb] = ra
-    got = {r.feature_id: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
-    assert got == {x: find(x) for x in parent}
+    for few in (0, 5, 1_000):
+        got = {r.feature_id: r.component for r in connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b", few).collect()}
+        assert got == {x: find(x) for x in parent}
+    assert connected_components(spark.createDataFrame([("a", None), (None, None)], "a string, b string"), "a", "b").collect() == [("a", "a")]
+
+
+def test_a_chain_of_names_in_order_is_one_component(spark):
+    chain = spark.range(5_000).select(F.format_string("n%05d", "id").alias("a"), F.format_string("n%05d", F.col("id") + 1).alias("b"))
+    assert connected_components(chain, "a", "b", 100).select("component").distinct().collect() == [("n00000",)]
 
 
 def test_support_and_consistency(spark, rows):
@@ -140,10 +154,30 @@ def test_stable_mass_consistency_equals_brute_force(spark, rows, tmp_path):
     assert queries["mass_consistency"](spark, str(tmp_path)).count() == sizes[1]
 
 
-def test_louvain_splits_two_cliques():
-    pairs = [(a, b, 1.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.1)]
-    found = louvain(pairs)
-    assert found == {**dict.fromkeys("abcd", "a"), **dict.fromkeys("wxyz", "w")}
+def test_communities_split_cliques_and_keep_isolated(spark, rows):
+    pairs = [(a, b, 1.0) for g in ("abcd", "wxyz") for i, a in enumerate(g) for b in g[i + 1 :]] + [("d", "w", 0.1), ("lone", "lone", 1.0), ("a", None, 1.0), ("b", "a", None)]
+    df = spark.createDataFrame(pairs, "s string, t string, w double")
+    found = {r.feature_id: (r.component, r.community) for r in communities(df, "s", "t", "w", resolutions=(0.4, 1.0)).collect()}
+    assert found == {**dict.fromkeys("abcd", ("a", "a")), **dict.fromkeys("wxyz", ("a", "w")), "lone": ("lone", "lone")}
+    assert communities(df.limit(0), "s", "t", "w").count() == 0
+    edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.2), ("c", "d", 0.4), ("d", "w", 1.0), ("w", "x", 0.01)], "feature_source string, feature_target string, weight double")
+    members = spark.createDataFrame([(k, v[1]) for k, v in found.items()], "feature_id string, community string")
+    assert rows(pruned_communities(edges, members, "weight"), "feature_source", "feature_target") == [("a", "b")]
+
+
+def test_communities_have_good_modularity(spark):
+    """On planted groups the modularity is near that of the planted ones."""
+    rng = random.Random(11)
+    group = {f"n{i:03}": i % 6 for i in range(90)}
+    names = sorted(group)
+    pairs = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < (0.5 if group[a] == group[b] else 0.02)}
+    found = {r.feature_id: r.community for r in communities(spark.createDataFrame([(*p, 1.0) for p in sorted(pairs)], "s string, t string, w double"), "s", "t", "w", resolutions=(0.5, 1.0)).collect()}
+
+    def quality(of):
+        degree = {n: sum(n in p for p in pairs) for n in names}
+        return sum(of[a] == of[b] for a, b in pairs) / len(pairs) - sum((sum(d for n, d in degree.items() if of[n] == c) / (2 * len(pairs))) ** 2 for c in set(of.values()))
+
+    assert quality(found) >= 0.93 * quality(group)
 
 
 def test_rt_units(spark):
