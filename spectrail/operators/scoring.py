@@ -51,21 +51,106 @@ def filter_ms1(df: DataFrame, least_bio: float, least_chem: float, condition: st
 
 
 def percentile_keep(df: DataFrame, keys: list[str], score: str, part: float) -> DataFrame:
-    """Rows of at least that part of their group's highest score; rows of rank 1 always."""
+    """Rows of at least that part of their group's highest score; rows of rank 1 and promoted ones always."""
     df = df.withColumn("__best", F.max(score).over(Window.partitionBy(*keys)))
     keep = F.col(score) >= part * F.col("__best")
-    return df.where(keep | (F.col("rank_final") == 1) if "rank_final" in df.columns else keep).drop("__best")
+    for c, always in (("rank_final", F.col("rank_final") == 1), ("promoted", F.col("promoted"))):
+        keep = keep | always if c in df.columns else keep
+    return df.where(keep).drop("__best")
 
 
 def cap_ties(df: DataFrame, most: int, evidence: list[Column], tie: str) -> DataFrame:
-    """At most `most` rows of each tied group (feature, adduct, rank), the best evidence first, with a note; untied rows stay."""
+    """At most `most` rows of each tied group (feature, adduct, rank), the best evidence first, with a note; untied rows stay. A note that a row has is kept before that one."""
     keys = ["feature_id", "candidate_adduct", "rank_final"]
     group = Window.partitionBy(*keys)
     counted = df.withColumn("__size", F.count("*").over(group)).withColumn("__n", F.row_number().over(group.orderBy(*evidence, tie)))
     note = F.when(F.col("__size") > most, F.concat(F.lit(f"Sampled {most} of "), F.col("__size"), F.lit(" tied candidates")))
+    note = F.coalesce("annotation_note", note) if "annotation_note" in df.columns else note
     return counted.where(F.col("__n") <= most).withColumn("annotation_note", note).drop("__size", "__n")
 
 
+#: Notes on candidates that other features of the same compound speak for.
+PROMOTED_NOTE = "Promoted to rank 1: cluster entity consensus (same M across component)"
+ANCHOR_NOTE = "Kept candidate matching best-supported InChIKey from sibling feature with same neutral mass (different adduct)"
+
+
+def promote_anchors(df: DataFrame, components: DataFrame, digits: int = 4) -> DataFrame:
+    """Aligns the features of one compound: rank_final anew where another feature's structure is better backed; adds promoted and annotation_note.
+
+    df: feature_id, structure layer, rank_final, score_weighted_chemo, candidate_structure_exact_mass (else neutral_mass),
+    candidate_score_similarity and candidate_score_sirius_confidence; components: feature_id, component_id. Per component
+    and rounded mass the first-ranked row with the best evidence (a spectrum, then the score) is the anchor. Where it is a
+    candidate of a feature whose first rank is another structure without a spectrum, it becomes the first of that mass
+    and the others follow in their order. Null masses and features outside all components stay as they are.
+    """
+    one = components.groupBy("feature_id").agg(F.min("component_id").alias("__c"))
+    mass = F.bround(F.coalesce("candidate_structure_exact_mass", "neutral_mass"), digits)
+    spectrum = F.col("candidate_score_similarity").isNotNull() | (F.coalesce("candidate_score_sirius_confidence", F.lit(0.0)) > 0)
+    rows = df.join(one, "feature_id", "left").withColumn("__m", mass).withColumn("__ms2", spectrum)
+    first = (F.col("rank_final") == 1) & F.col("__c").isNotNull() & F.col("__m").isNotNull() & F.col(LAYER).isNotNull()
+    best = F.min(F.struct((~F.col("__ms2")).alias("a"), (-F.col("score_weighted_chemo")).alias("b"), F.col("feature_id").alias("f"), F.col(LAYER).alias("l"))).alias("x")
+    anchors = rows.where(first).groupBy("__c", "__m").agg(best).select("__c", "__m", F.col("x.f").alias("__f"), F.col("x.l").alias("__l"))
+    rows = rows.join(anchors, ["__c", "__m"], "left").withColumn("__is", F.coalesce(F.col(LAYER) == F.col("__l"), F.lit(False)))
+    group = Window.partitionBy("feature_id", "__c", "__m")
+    rows = rows.withColumn("__in", F.max("__is").over(group))
+    other = F.col("__in") & (F.col("rank_final") == 1) & ~F.col("__ms2") & ~F.col("__is")
+    rows = rows.withColumn("__turn", F.col("__in") & F.coalesce(F.max(other).over(Window.partitionBy("feature_id")), F.lit(False)))
+    anew = F.row_number().over(group.orderBy(F.desc("__is"), F.col("rank_final").asc_nulls_last(), F.col(LAYER)))
+    rows = rows.withColumn("rank_final", F.when(F.col("__turn"), anew).otherwise(F.col("rank_final")).cast("int"))
+    promoted = F.coalesce(F.col("__is") & (F.col("rank_final") == 1) & (F.col("feature_id") != F.col("__f")), F.lit(False))
+    rows = rows.withColumn("promoted", promoted).withColumn("annotation_note", F.when(promoted, F.lit(PROMOTED_NOTE)))
+    return rows.withColumnRenamed("__c", "component_id").drop("__m", "__ms2", "__f", "__l", "__is", "__in", "__turn")
+
+
+def collapse_to_anchors(df: DataFrame, mass: float = 0.005, rt: float = 0.15) -> DataFrame:
+    """Tied groups (feature, adduct, rank) in which some rows match an anchor keep only those: adds annotation_note to them.
+
+    An anchor is the only row of its group, of rank 1, in another feature, with the same structure and nearly the same
+    neutral_mass and, if it has one, rt.
+    """
+    group = Window.partitionBy("feature_id", "candidate_adduct", "rank_final")
+    rows = df.withColumn("__size", F.count("*").over(group))
+    known = rows.where(F.col(LAYER).isNotNull() & F.col("neutral_mass").isNotNull())
+    ends = known.select("candidate_id", F.col(LAYER).alias("structure"), "feature_id", F.col("neutral_mass").alias("mass"), "rt", "rank_final", "__size")
+    matched = match_anchors(ends.where("__size > 1"), ends.where("rank_final = 1 AND __size = 1"), mass, rt).select("feature_id", F.col("structure").alias(LAYER), "candidate_id", F.lit(True).alias("__hit")).distinct()
+    rows = rows.join(matched, ["feature_id", LAYER, "candidate_id"], "left").withColumn("__any", F.max(F.coalesce("__hit", F.lit(False))).over(group))
+    note = F.when(F.col("__hit"), F.lit(ANCHOR_NOTE)).otherwise(F.col("annotation_note") if "annotation_note" in df.columns else F.lit(None).cast("string"))
+    return rows.where(~F.col("__any") | F.coalesce("__hit", F.lit(False))).withColumn("annotation_note", note).drop("__size", "__hit", "__any")
+
+
+#: Marks of a class that isn't known.
+NO_CLASS = ["", "notClassified", "empty", "N/A", "null"]
+
+
+def mini_labels(df: DataFrame, levels: dict[str, float], prefix: str = "candidate_structure_tax") -> DataFrame:
+    """One class label per feature and system: (feature_id, has_inchikey, label_classyfire, score_classyfire, label_npclassifier, score_npclassifier).
+
+    The structure's label is the deepest known class of the highest-scored candidate that has one; the predicted one is of
+    the level with the highest product of score and level weight (the deeper of equals). The structure's label stands,
+    without a score, if its candidate scores at least as high; else the predicted one.
+    """
+    out = df.groupBy("feature_id").agg(F.max(F.col(LAYER).isNotNull()).alias("has_inchikey"))
+    for system, name in (("cla", "classyfire"), ("npc", "npclassifier")):
+        deep = [x for x in sorted((x for x in levels if x.startswith(system)), reverse=True)]
+        if not deep:
+            out = out.withColumn(f"label_{name}", F.lit(None).cast("string")).withColumn(f"score_{name}", F.lit(None).cast("double"))
+            continue
+        own = F.coalesce(*[F.when(~F.trim(F.col(f"{prefix}_{x}")).isin(NO_CLASS), F.trim(F.col(f"{prefix}_{x}"))) for x in deep])
+        score = F.col("score_weighted_chemo")
+        said = [F.when(F.col(f"feature_pred_tax_{x}_val").isNotNull() & (F.col(f"feature_pred_tax_{x}_val") != "notClassified"), F.col(f"feature_pred_tax_{x}_score") * levels[x]) for x in deep]
+        top = F.greatest(*said, F.lit(None).cast("double"))
+        label = F.coalesce(*[F.when(w == top, F.col(f"feature_pred_tax_{x}_val")) for x, w in zip(deep, said, strict=True)])
+        per = df.select("feature_id", own.alias("own"), score.alias("s"), label.alias("said"), top.alias("top"))
+        best = per.groupBy("feature_id").agg(
+            F.min(F.when(F.col("own").isNotNull(), F.struct(F.isnull("s").alias("a"), (-F.col("s")).alias("b"), F.col("own").alias("l"), F.col("s")))).alias("o"),
+            F.min(F.when(F.col("said").isNotNull(), F.struct((-F.col("top")).alias("b"), F.col("said").alias("l"), F.col("top").alias("s")))).alias("p"),
+        )
+        first = F.coalesce(F.col("o.s") >= F.col("p.s"), F.col("p").isNull())
+        best = best.select("feature_id", F.when(first, F.col("o.l")).otherwise(F.col("p.l")).alias(f"label_{name}"), F.when(~first, F.col("p.s")).alias(f"score_{name}"))
+        out = out.join(best, "feature_id", "left")
+    return out
+
+
 @dataclass(frozen=True)
 class Evidence:
     """Limits for results of high evidence."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import NOT_CLASSIFIED, NOT_CONSISTENT, UNKNOWN, contains_pattern
-from spectrail.operators.keys import first_row, null_safe_join
+from spectrail.operators.keys import null_safe_join
 from spectrail.session import bounded, cut
 
 #: Ranks from the widest to the narrowest, with the score of a match.
@@ -41,14 +41,14 @@ def biological_scores(pairs: DataFrame, samples: DataFrame, organisms: DataFrame
     """
     ranks = ranks or BIO_RANKS
     wanted = samples.select("structure", "sample_organism_name").where("sample_organism_name IS NOT NULL AND structure IS NOT NULL").distinct()
-    met = wanted.join(pairs.select("structure", "organism_name").where("organism_name IS NOT NULL").distinct(), "structure")
+    met = cut(wanted.join(pairs.select("structure", "organism_name").where("organism_name IS NOT NULL").distinct(), "structure"))
     known = samples.select("sample_organism_name", *[f"sample_{r}" for r in ranks]).where("sample_organism_name IS NOT NULL").dropDuplicates(["sample_organism_name"])
-    couples = cut(met.select("sample_organism_name", "organism_name").distinct())
-    scored = couples.join(bounded(cut(organisms)), "organism_name").join(bounded(cut(known)), "sample_organism_name")
+    couples = met.select("sample_organism_name", "organism_name").distinct()
+    scored = couples.join(bounded(organisms), "organism_name").join(bounded(known), "sample_organism_name")
     score = F.when(F.col("candidate_01domain") == BIOTA, BIOTA_SCORE).otherwise(rank_score("candidate", "sample", ranks, collapsed))
     scored = scored.withColumn("score_biological", score)
     closest = reduce(lambda w, r: w.when(F.col("score_biological") == ranks[r], F.col(f"candidate_{r}")), ranks, F.when(F.col("candidate_01domain") == BIOTA, F.lit(BIOTA)))
-    scored = cut(scored.select("sample_organism_name", "organism_name", "score_biological", closest.alias("closest")).where("closest IS NOT NULL"))
+    scored = scored.select("sample_organism_name", "organism_name", "score_biological", closest.alias("closest")).where("closest IS NOT NULL")
     best = met.join(scored, ["sample_organism_name", "organism_name"]).groupBy("structure", "sample_organism_name")
     best = best.agg(F.max(F.struct("score_biological", "closest")).alias("b"))
     return best.select("structure", "sample_organism_name", "b.score_biological", "b.closest")
@@ -78,7 +78,8 @@ def neighbour_votes(edges: DataFrame, annotations: DataFrame, score: str, levels
     counts = edges.join(own.withColumnRenamed("feature_id", "feature_target"), "feature_target").groupBy("feature_source", "level", "val").agg(F.count("*").alias("n"))
     votes = counts.join(totals, "feature_source").withColumn("consistency", F.col("n") / F.col("n_targets"))
     votes = votes.join(own.withColumnRenamed("feature_id", "feature_source"), ["feature_source", "level", "val"], "left").withColumn("score", F.col("consistency") * F.col("s"))
-    best = first_row(votes, ["feature_source", "level"], [F.col("score").desc_nulls_last(), F.asc("val")])
+    order = F.struct(F.isnull("score").alias("a"), (-F.col("score")).alias("b"), F.col("val"), F.col("consistency"), F.col("score"))
+    best = votes.groupBy("feature_source", "level").agg(F.min(order).alias("x")).select("feature_source", "level", "x.val", "x.consistency", "x.score")
     kept = F.when(F.col("score").isNull(), None).when(F.col("score") >= least, F.col("val")).otherwise(NOT_CONSISTENT)
     return best.select("feature_source", "level", kept.alias("val"), "consistency", "score")
 
