@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spectrail.catalog.mass_sql import BASELINE, CLUSTERS, DALTON, LOSSES, PPM, RT, UNIVERSE
+from spectrail.catalog.mass_sql import SQL as _MASS_SQL
 from spectrail.catalog.pipeline_sql import LEVELS as _LEVELS
 from spectrail.catalog.pipeline_sql import SQL as _SCORING_SQL
 from spectrail.operators.adducts import adduct_universe
 from spectrail.operators.graph import connected_components
 from spectrail.operators.scoring import LAYER
 from spectrail.operators.taxonomy import BIO_RANKS
-from spectrail.plans.annotate_masses import annotate_masses
+from spectrail.plans.annotate_masses import MassSettings, annotate_masses
 from spectrail.plans.weight_annotations import Settings, merged_candidates, weight_annotations
 from spectrail.session import table
 from spectrail.streaming.gaps import session_clusters
@@ -63,16 +65,26 @@ def weighted_mini(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mini.select("feature_id", "candidate_id", "candidate_adduct", "has_inchikey", "label_classyfire", F.round("score_classyfire", 6).alias("score_classyfire"), "label_npclassifier", F.round("score_npclassifier", 6).alias("score_npclassifier"), "candidates_evaluated")
 
 
+_MASS_SETTINGS = MassSettings(PPM, DALTON, RT, BASELINE, "metadata")
+
+
 def _masses(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Events as features: values as m/z, users as samples, minutes as times."""
     events = table(spark, sf_dir, "events")
     features = events.select(F.col("event_id").cast("string").alias("feature_id"), F.col("user_id").alias("sample"), (F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000).alias("rt"), (F.col("value") + 150).alias("mz"))
-    library = table(spark, sf_dir, "structures_metadata").select(F.col("structure_exact_mass").alias("exact_mass"))
-    return annotate_masses(features, library, adduct_universe(spark, {"H": 1, "Na": 1, "K": 1}, [1], [1], [], ["H2O"]), 10.0, 0.01, 240.0)
+    library = table(spark, sf_dir, "structures_metadata").where("structure_inchikey_no_stereo IS NOT NULL").select(F.col("structure_inchikey_no_stereo").alias("structure"), F.col("structure_exact_mass").alias("exact_mass"), F.col("structure_molecular_formula").alias("formula"))
+    clusters, losses = (spark.createDataFrame(t, "distance double, label string") for t in (CLUSTERS, LOSSES))
+    return annotate_masses(features, library, adduct_universe(spark, *UNIVERSE), clusters, losses, _MASS_SETTINGS)
 
 
 def mass_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annotations of events (values as m/z, users as samples) by mass."""
-    return _masses(spark, sf_dir)["annotations"].select("feature_id", "adduct", "exact_mass", F.round("error_mz", 6).alias("error_mz"))
+    """Annotations of events by mass."""
+    return _masses(spark, sf_dir)["annotations"].select("feature_id", "adduct", "structure", "source", "adduct_support", "exact_mass", F.round("error_mz", 7).alias("error_mz"))
+
+
+def mass_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between events that go with their annotation, with self-loops of the others."""
+    return _masses(spark, sf_dir)["edges"]
 
 
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +93,8 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("user_id", F.unix_micros("start").alias("start_us"), "n_events", "highest")
 
 
-QUERIES = {"weighted_full": weighted_full, "weighted_filtered": weighted_filtered, "weighted_mini": weighted_mini, "mass_annotations": mass_annotations, "event_sessions": event_sessions}
-SQL = _SCORING_SQL | {
+QUERIES = {"weighted_full": weighted_full, "weighted_filtered": weighted_filtered, "weighted_mini": weighted_mini, "mass_annotations": mass_annotations, "mass_edges": mass_edges, "event_sessions": event_sessions}
+SQL = _SCORING_SQL | _MASS_SQL | {
     "event_sessions": """WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n_events, max(value) AS highest FROM s GROUP BY user_id, k""",

@@ -209,8 +209,8 @@ def possible_losses(df: DataFrame, adduct: str, formula: str) -> DataFrame:
     return df.join(bad, (df[adduct] == bad["__a"]) & (df[formula] == bad["__f"]), "left_anti")
 
 
-def adduct_universe(spark: SparkSession, carriers: dict[str, int], charges: list[int], molecules: list[int], clusters: list[str], losses: list[str], most_clusters: int = 1, most_losses: int = 1) -> DataFrame:
-    """All ions of integer compositions: (adduct, n_mer, z, adduct_mass, tier), a bounded table made on the driver.
+def universe_rows(carriers: dict[str, int], charges: list[int], molecules: list[int], clusters: list[str], losses: list[str], most_clusters: int = 1, most_losses: int = 1) -> list[tuple]:
+    """All ions of integer compositions: (adduct, n_mer, z, adduct_mass, tier).
 
     carriers: formula with the charge it brings (a negative mode's proton is H with -1). tier counts what goes beyond one
     plain molecule with one carrier. Ions that come out twice are kept once.
@@ -237,7 +237,13 @@ def adduct_universe(spark: SparkSession, carriers: dict[str, int], charges: list
                                     mass = sum(formula_mass(f) * v for f, v in net.items())
                                     tier = (n > 1) + (len(set(combo)) > 1) + bool(c) + bool(k)
                                     rows.setdefault(adduct, (adduct, n, z, mass, int(tier)))
-    return spark.createDataFrame(list(rows.values()), "adduct string, n_mer int, z int, adduct_mass double, tier int")
+    return list(rows.values())
+
+
+def adduct_universe(spark: SparkSession, carriers: dict[str, int], charges: list[int], molecules: list[int], clusters: list[str], losses: list[str], most_clusters: int = 1, most_losses: int = 1) -> DataFrame:
+    """universe_rows as a table; its size hangs on the parameters alone."""
+    rows = universe_rows(carriers, charges, molecules, clusters, losses, most_clusters, most_losses)
+    return spark.createDataFrame(rows, "adduct string, n_mer int, z int, adduct_mass double, tier int")
 
 
 def adduct_differences(adducts: DataFrame, least: float) -> DataFrame:
