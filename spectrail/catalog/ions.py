@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spectrail.functions.scalars import charge_of_adduct
-from spectrail.operators.adducts import adduct_differences, adduct_universe, ion_mz, mass_of_formula, neutral_mass, possible_losses, with_parsed_adducts
+from spectrail.catalog.mass_sql import evidence as evidence_sql
+from spectrail.catalog.mass_sql import rows_of
+from spectrail.operators.adducts import adduct_differences, adduct_universe, universe_rows, ion_mz, mass_of_formula, neutral_mass, possible_losses, with_parsed_adducts
 from spectrail.operators.intervals import Tolerance
 from spectrail.operators.masses import evidence_hypotheses
 from spectrail.operators.scoring import LAYER
-from spectrail.operators.spectra import annotate_spectra, clean_spectra, combine_replicates, entropy, is_sanitized, packed_index, sanitize, score_histogram, similarity, similarity_edges, total, with_isolated
+from spectrail.operators.spectra import aligned_cosine, annotate_spectra, clean_spectra, combine_replicates, entropy, is_sanitized, packed_index, sanitize, score_histogram, similarity, similarity_edges, total, with_isolated
 from spectrail.sources.sinks import merge_rows, mztab_tables, section_lines, to_json_rows
 from spectrail.sources.text import mgf_block, mztab_features, parse_mgf, parse_mztab, parse_sdf, section_rows
 from spectrail.session import cut, table
@@ -34,16 +36,15 @@ def _same_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_sqrt_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of square-rooted intensities, for aligned spectra of one label, without leaving the JVM."""
-    x, y = F.col("peaks"), F.col("other_peaks")
-    products = F.zip_with(x, y, lambda p, q: F.sqrt(p["intensity"] * q["intensity"]))
-    score = F.aggregate(products, F.lit(0.0), lambda a, v: a + v) / F.sqrt(total(x) * total(y))
-    return _same_label(spark, sf_dir).select("feature_id", "other", F.round(score, 6).alias("score"))
+    return _same_label(spark, sf_dir).select("feature_id", "other", F.round(aligned_cosine(F.col("peaks"), F.col("other_peaks")), 6).alias("score"))
 
 
 def shifted_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kernel with moved peaks over aligned spectra of one label; their precursors agree, so it equals the cosine."""
+    """The kernel with moved peaks: each spectrum against the next one by id, whose precursor mostly differs, so that peaks pair as they are or moved."""
+    a = _spectra(spark, sf_dir)
+    b = a.select(F.col("feature_id").alias("other"), F.col("peaks").alias("other_peaks"), F.col("precursor_mz").alias("other_mz"))
     s = similarity("gnps", 0.01, 10.0)("peaks", "other_peaks", "precursor_mz", "other_mz")
-    return _same_label(spark, sf_dir).select("feature_id", "other", s.alias("s")).select("feature_id", "other", F.round("s.score", 6).alias("score"), "s.matches")
+    return a.join(b, F.col("other") == F.col("feature_id") + 1).select("feature_id", "other", s.alias("s")).select("feature_id", "other", F.round("s.score", 6).alias("score"))
 
 
 def entropy_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +278,14 @@ _MOD_ROWS = "VALUES " + ", ".join(f"('{a}', {n}, {z}, {m!r}::DOUBLE)" for a, (n,
 SQL = {
     "spectral_entropy": f"WITH {_COS} SELECT p.vec_id AS feature_id, round(-sum(v / s * ln(v / s)), 6) AS entropy FROM p JOIN t USING (vec_id) WHERE v > 0 GROUP BY 1",
     "cosine_sqrt_similarity": f"WITH {_COS} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum(sqrt(a.v * b.v)) / sqrt(any_value(x.s) * any_value(y.s)), 6) AS score FROM p a JOIN p b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id GROUP BY 1, 2",
-    "shifted_similarity": f"WITH {_COS} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum(sqrt(a.v * b.v)) / sqrt(any_value(x.s) * any_value(y.s)), 6) AS score, CAST(count(*) AS INT) AS matches FROM p a JOIN p b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id GROUP BY 1, 2",
+    # Peaks pair at equal places or at places moved by the precursors' difference d: chains in which each edge excludes its neighbours, so the best sum comes by going along.
+    "shifted_similarity": f"""WITH RECURSIVE {_COS}, n AS (SELECT a.vec_id AS a, b.vec_id AS b, b.label - a.label AS d, x.s * y.s AS t, len(a.embedding) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id),
+z AS (SELECT n.a, n.b, sum(sqrt(p.v * q.v / n.t)) AS score FROM n JOIN p ON p.vec_id = n.a JOIN p q ON q.vec_id = n.b AND q.mz = p.mz WHERE d = 0 GROUP BY 1, 2),
+e AS (SELECT n.a, n.b, abs(d) AS d, (p.mz - 1) % abs(d) AS r, 2 * ((CASE WHEN d > 0 THEN p.mz ELSE m + 1 - p.mz END - 1) // abs(d)) AS k0, p.mz AS i, q.mz AS j, sqrt(p.v * q.v / n.t) AS w, CASE WHEN q.mz = p.mz THEN 0 ELSE 1 END AS moved FROM n JOIN p ON p.vec_id = n.a JOIN p q ON q.vec_id = n.b AND (q.mz = p.mz OR q.mz = p.mz + n.d) WHERE d <> 0),
+o AS (SELECT a, b, r, w, row_number() OVER (PARTITION BY a, b, r ORDER BY k0 + moved) AS k FROM e),
+g AS (SELECT a, b, r, k, w AS m1, 0::DOUBLE AS m2 FROM o WHERE k = 1 UNION ALL SELECT o.a, o.b, o.r, o.k, greatest(g.m1, g.m2 + o.w), g.m1 FROM g JOIN o ON o.a = g.a AND o.b = g.b AND o.r = g.r AND o.k = g.k + 1),
+u AS (SELECT a, b, r, max(m1) AS m FROM g GROUP BY 1, 2, 3)
+SELECT a AS feature_id, b AS other, round(sum(m), 6) AS score FROM (SELECT a, b, m FROM u UNION ALL SELECT a, b, score FROM z) GROUP BY 1, 2""",
     "spectrum_sanitize": f"WITH {_P} SELECT vec_id AS feature_id, count(*) FILTER (v > 0) AS n, round(sum(v), 5) AS sum, true AS ok FROM p GROUP BY 1",
     "spectra_cleaning": f"WITH {_P}, k AS (SELECT * FROM p WHERE v >= 0.1) SELECT vec_id AS feature_id, count(*) AS n, round(max(v) / sum(v), 6) AS top FROM k GROUP BY 1 HAVING count(*) >= 3",
     "replicate_merge": f"WITH {_P} SELECT label, count(DISTINCT mz) FILTER (v > 0) AS n, round(sum(v), 3) AS sum FROM p GROUP BY 1",
@@ -299,3 +307,18 @@ SQL = {
 r AS (SELECT structure_inchikey_no_stereo AS k, string_agg(DISTINCT stereo_id::VARCHAR, '|' ORDER BY stereo_id::VARCHAR) AS refs FROM structures_stereo WHERE structure_inchikey_no_stereo IS NOT NULL AND library IN ('florabase', 'mycoindex') GROUP BY 1)
 SELECT k, refs, coalesce(max(smiles) FILTER (library = 'mycoindex'), max(smiles) FILTER (library = 'florabase')) AS smiles FROM r JOIN s USING (k) GROUP BY 1, 2""",
 }
+#: Masses of the commonest isotopes.
+_ELEMENTS = [("C", 12.0), ("H", 1.00782503223), ("N", 14.00307400443), ("O", 15.99491461957), ("P", 30.97376199842), ("S", 31.9720711744), ("F", 18.99840316273), ("Cl", 34.968852682), ("Br", 78.9183376), ("I", 126.9044719)]
+_ATOMS = "SELECT formula, regexp_extract(u, '^[A-Z][a-z]?') AS e, coalesce(try_cast(nullif(regexp_extract(u, '\\d+$'), '') AS INT), 1) AS n FROM (SELECT formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]?\\d*')) AS u FROM f)"
+_EVENT_FEATURES = "ft AS (SELECT event_id AS f, user_id AS s, epoch_us(ts) / 60000000 AS rt, value + 100 AS mz FROM events)"
+_UNIVERSE = universe_rows({"H": 1, "Na": 1, "K": 1}, [1], [1, 2], [], ["H2O"])
+SQL["formula_masses"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), m(e, w) AS (VALUES {", ".join(f"('{e}', {w!r}::DOUBLE)" for e, w in _ELEMENTS)})
+SELECT f.formula, round(sum(n * w), 4) AS mass FROM f LEFT JOIN a ON a.formula = f.formula LEFT JOIN m ON m.e = a.e GROUP BY 1"""
+SQL["loss_feasibility"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), k AS (SELECT formula, sum(n) FILTER (e = 'H') AS h, sum(n) FILTER (e = 'O') AS o FROM a GROUP BY 1)
+SELECT metadata_id FROM structures_metadata LEFT JOIN k ON formula = structure_molecular_formula WHERE structure_molecular_formula IS NULL OR (coalesce(h, 0) >= 20 AND coalesce(o, 0) >= 10)"""
+SQL["evidence_engine"] = f"""WITH {_EVENT_FEATURES}, un(x, n, z, am, tier) AS (VALUES {rows_of(_UNIVERSE)}), lib AS (SELECT DISTINCT structure_exact_mass AS em FROM structures_metadata WHERE structure_exact_mass > 0), {evidence_sql("ft", 10.0, 0.01, 600.0)}
+SELECT f AS feature_id, x AS adduct, em AS exact_mass, CAST(peers AS INT) AS n_peers, tier FROM ev"""
+_EVEN = """q AS (SELECT vec_id, label, mz, v / s AS w FROM p JOIN t USING (vec_id, label) WHERE v > 0), h AS (SELECT vec_id, -sum(w * ln(w)) AS e FROM q GROUP BY 1),
+u AS (SELECT q.vec_id, label, mz, CASE WHEN e < 3 THEN pow(w, 0.25 + e * 0.25) ELSE w END AS w FROM q JOIN h USING (vec_id)), n AS (SELECT vec_id, sum(w) AS s FROM u GROUP BY 1), k AS (SELECT u.vec_id, label, mz, w / s AS w FROM u JOIN n USING (vec_id))"""
+SQL["entropy_similarity"] = f"""WITH {_COS}, {_EVEN} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum((a.w + b.w) * ln(a.w + b.w) - a.w * ln(a.w) - b.w * ln(b.w)) / ln(4), 6) AS score
+FROM k a JOIN k b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id GROUP BY 1, 2"""

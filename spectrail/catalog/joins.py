@@ -127,7 +127,7 @@ def covariance_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = chemo.groupBy(F.col("candidate_adduct").alias("feature_id"), F.col("candidate_library").alias("sample")).agg(F.count("*").cast("double").alias("intensity"))
     names = long.select("feature_id").where("feature_id IS NOT NULL").distinct()
     pairs = names.join(F.broadcast(names.withColumnRenamed("feature_id", "feature_id_dest")), F.col("feature_id") < F.col("feature_id_dest"))
-    return covariance_edges(long, pairs, p_below=0.05)
+    return covariance_edges(long, pairs, p_below=0.05).select("feature_id", "feature_id_dest", F.col("n").cast("long").alias("n"), F.round("correlation", 6).alias("correlation"))
 
 
 def null_safe_natural_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,3 +248,8 @@ FROM o LEFT JOIN organism_reference USING (organism_name) GROUP BY feature_id"""
     "column_discovery": "SELECT column_name FROM (VALUES ('o_totalprice'), ('o_custkey')) t(column_name)",
     "collapse_unique": "SELECT library, string_agg(DISTINCT trim(structure_tag), ' $ ' ORDER BY trim(structure_tag)) FILTER (trim(structure_tag) <> '') AS tags FROM structures_stereo GROUP BY library",
 }
+#: Correlations of n values beyond which Student's p is below 0.05 on both sides.
+_CRITICAL = {3: 0.996917, 4: 0.95, 5: 0.878339, 6: 0.811401, 7: 0.754492, 8: 0.706734, 9: 0.666384, 10: 0.631897}
+SQL["covariance_significant"] = f"""WITH l AS (SELECT candidate_adduct AS a, candidate_library AS s, count(*)::DOUBLE AS v FROM clean_chemo WHERE feature_id IS NOT NULL AND candidate_adduct IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT x.a AS f, y.a AS g, count(*) AS n, corr(x.v, y.v) AS r FROM l x JOIN l y ON x.s = y.s AND x.a < y.a GROUP BY 1, 2), c(n, least) AS (VALUES {", ".join(f"({n}, {r})" for n, r in _CRITICAL.items())})
+SELECT f AS feature_id, g AS feature_id_dest, n, round(r, 6) AS correlation FROM r JOIN c USING (n) WHERE r > least"""

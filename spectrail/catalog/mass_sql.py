@@ -16,7 +16,8 @@ def _d(x: float) -> str:
     return f"{x!r}::DOUBLE"
 
 
-def _rows(rows: list[tuple]) -> str:
+def rows_of(rows: list[tuple]) -> str:
+    """Rows as SQL values."""
     return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else _d(v) if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
 
 
@@ -55,7 +56,7 @@ def _lost(text: str) -> str:
 
 
 _SQL = f"""WITH RECURSIVE ft AS (SELECT CAST(event_id AS VARCHAR) AS f, user_id AS s, epoch_us(ts) / 60000000 AS rt, value + 150 AS mz FROM events),
-un(x, n, z, am, tier) AS (VALUES {_rows(universe_rows(*UNIVERSE))}), lib AS (SELECT DISTINCT structure_exact_mass AS em FROM structures_metadata WHERE structure_inchikey_no_stereo IS NOT NULL AND structure_exact_mass > 0),
+un(x, n, z, am, tier) AS (VALUES {rows_of(universe_rows(*UNIVERSE))}), lib AS (SELECT DISTINCT structure_exact_mass AS em FROM structures_metadata WHERE structure_inchikey_no_stereo IS NOT NULL AND structure_exact_mass > 0),
 pa AS MATERIALIZED (SELECT a.f, b.f AS g, b.mz - a.mz AS d, (a.mz + b.mz) / 2 * {_d(PPM * 1e-6)} AS w FROM ft a JOIN ft b ON a.s = b.s AND b.rt BETWEEN a.rt - {_d(RT)} AND a.rt + {_d(RT)} AND a.f <> b.f AND b.mz >= a.mz),
 df AS (SELECT DISTINCT b.am - a.am AS dist, a.x AS x1, b.x AS x2 FROM un a JOIN un b ON a.am < b.am AND a.x <> b.x WHERE a.n = 1 AND b.n = 1 AND b.am - a.am >= {_d(PPM * 1e-6 * 2_000)}),
 r0 AS MATERIALIZED (SELECT DISTINCT f, x1 AS x, x2 AS y, g FROM pa JOIN df ON dist BETWEEN d - w AND d + w),
@@ -63,7 +64,7 @@ sp0 AS (SELECT f, x, count(*) AS n FROM (SELECT f, x, g FROM r0 UNION SELECT g,
 e0 AS MATERIALIZED (SELECT DISTINCT r0.f, r0.x, r0.y, r0.g, (ft.mz - un.am + un.z * {_d(ELECTRON)}) / un.n AS mass FROM r0 JOIN hp USING (f, g) JOIN sp0 a ON a.f = r0.f AND a.x = r0.x JOIN sp0 b ON b.f = r0.g AND b.x = r0.y JOIN dg p ON p.f = r0.f JOIN dg q ON q.f = r0.g JOIN ft ON ft.f = r0.f JOIN un ON un.x = r0.x
   WHERE NOT (hp.n > 1 OR p.n >= 3 OR q.n >= 3) OR a.n >= 2 OR b.n >= 2),
 {_ROUNDS},
-cl(dist, label) AS (VALUES {_rows(CLUSTERS)}), ls(dist, label) AS (VALUES {_rows(LOSSES)}),
+cl(dist, label) AS (VALUES {rows_of(CLUSTERS)}), ls(dist, label) AS (VALUES {rows_of(LOSSES)}),
 mo AS (SELECT DISTINCT f, g, label, 'cluster' AS kind FROM pa JOIN cl ON dist BETWEEN d - w AND d + w UNION ALL SELECT DISTINCT f, g, label, 'loss' FROM pa JOIN ls ON dist BETWEEN d - w AND d + w),
 sc AS (SELECT f, label, count(*) AS n FROM mo GROUP BY 1, 2), md AS MATERIALIZED (SELECT f, g, label, kind FROM mo JOIN sc USING (f, label) QUALIFY row_number() OVER (PARTITION BY f, g ORDER BY n DESC, kind DESC, label) = 1),
 {evidence("ft", PPM, DALTON, RT)},

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from spectrail.functions.scalars import NOT_CLASSIFIED, chemont_id, collapse_names, collapse_sorted, no_stereo_key
 from spectrail.operators.keys import first_row, null_safe_join, union_all
@@ -75,16 +79,98 @@ def assemble_library(pairs: DataFrame, tables: list[DataFrame]) -> DataFrame:
     return pairs
 
 
-def taxonomic_filter(pairs: DataFrame, organisms: DataFrame, level: str, pattern: str) -> DataFrame:
-    """Pairs of organisms whose name at the level matches the pattern."""
-    kept = organisms.where(F.col(level).rlike(pattern)).select("organism_name").distinct()
-    return pairs.join(bounded(cut(kept)), "organism_name", "left_semi")
+def taxonomic_filter(pairs: DataFrame, organisms: DataFrame, level: str, pattern: str, must_match: bool = False) -> DataFrame:
+    """Pairs of organisms whose name at the level matches the pattern. must_match: no organism at all is an error."""
+    kept = cut(organisms.where(F.col(level).rlike(pattern)).select("organism_name").distinct())
+    if must_match and kept.isEmpty():
+        raise ValueError(f"no organism has a {level} that matches {pattern}")
+    return pairs.join(bounded(kept), "organism_name", "left_semi")
+
+
+def completed_organisms(organisms: DataFrame, known: DataFrame) -> DataFrame:
+    """Organisms with the ranks that they lack (null or not classified) taken from known ones of the same name; those that only `known` has stay out."""
+    ranks = [c for c in organisms.columns if c != "organism_name" and c in known.columns]
+    one = first_row(known.select("organism_name", *ranks), ["organism_name"], [F.col(c).asc_nulls_last() for c in ranks]).withColumnsRenamed({c: f"__{c}" for c in ranks})
+    joined = organisms.join(one, "organism_name", "left")
+    filled = {c: F.coalesce(F.nullif(F.col(c), F.lit(NOT_CLASSIFIED)), F.nullif(F.col(f"__{c}"), F.lit(NOT_CLASSIFIED)), F.col(c)) for c in ranks}
+    return joined.withColumns(filled).drop(*[f"__{c}" for c in ranks])
+
+
+def prepared_library(libraries: list[DataFrame], organisms: DataFrame | None = None, classes: list[tuple[str, DataFrame]] | None = None, level: str | None = None, pattern: str | None = None) -> dict[str, DataFrame]:
+    """Libraries as one: united, split into normalised tables, organisms completed and classes filled from caches, reduced to a taxon.
+
+    organisms: known organisms with organism_taxonomy_<rank>; classes: lookups (key, table with one row per key) for the
+    class tables; level, pattern: a rank column and what its names must match, an error if none does.
+    """
+    tables = split_pairs(merge_libraries(libraries))
+    if organisms is not None:
+        tables["org_tax_ott"] = completed_organisms(tables["org_tax_ott"], organisms)
+    for name in ("str_tax_npc", "str_tax_cla"):
+        for key, lookup in classes or []:
+            if key in tables[name].columns:
+                columns = [c for c in tables[name].columns if c != key and c in lookup.columns]
+                blank = tables[name].withColumns({c: F.nullif(F.col(c), F.lit(NOT_CLASSIFIED)) for c in columns})
+                tables[name] = enrich_structures(blank, [(key, lookup)], columns).fillna(NOT_CLASSIFIED, columns)
+    if level is not None:
+        tables["key"] = taxonomic_filter(tables["key"], tables["org_tax_ott"], level, pattern or "", must_match=True)
+    return tables
+
+
+#: Columns of library files by those of the common model.
+LIBRARY_COLUMNS = {
+    "lotus": {"structure_inchikey": "structure_inchikey", "structure_smiles": "structure_smiles", "structure_name": "structure_nameTraditional", "organism_name": "organism_name", "reference_doi": "reference_doi", "structure_exact_mass": "structure_exact_mass", "structure_xlogp": "structure_xlogp", "structure_molecular_formula": "structure_molecular_formula"},
+    "ecmdb": {"structure_inchikey": "moldb_inchikey", "structure_smiles": "moldb_smiles", "structure_name": "name", "structure_molecular_formula": "moldb_formula", "structure_exact_mass": "moldb_mono_mass", "structure_xlogp": "moldb_logp"},
+    "pubchemlite": {"structure_inchikey": "InChIKey", "structure_smiles": "SMILES", "structure_name": "CompoundName", "structure_molecular_formula": "MolecularFormula", "structure_exact_mass": "MonoisotopicMass", "structure_xlogp": "XLogP"},
+    "bigg": {"structure_inchikey": "inchi_key", "structure_name": "name", "structure_molecular_formula": "formula"},
+}
+
+
+def library_pairs(df: DataFrame, kind: str, organism: str | None = None) -> DataFrame:
+    """A library file's rows under the common model: numbers cast, lacking columns null; organism: the one that all rows are of, where the file names none."""
+    from spectrail.operators.keys import conform
+
+    renamed = df.select(*[F.col(f"`{old}`").alias(new) for new, old in LIBRARY_COLUMNS[kind].items() if old in df.columns])
+    if organism is not None:
+        renamed = renamed.withColumn("organism_name", F.lit(organism))
+    names = ["structure_inchikey", "structure_smiles", "structure_name", "structure_molecular_formula", "structure_tag", "organism_name", "reference_doi"]
+    fields = [StructField(c, StringType()) for c in names] + [StructField(c, DoubleType()) for c in ("structure_exact_mass", "structure_xlogp")]
+    return conform(renamed, StructType(fields)).where("structure_inchikey IS NOT NULL").distinct()
+
+
+def looked_up(names: DataFrame, column: str, fetch: Callable[[list[str]], dict[str, str]], batch: int = 100, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(column, found): what `fetch` gives for each distinct name, asked in batches; a name without an answer is asked again by its first word.
+
+    fetch may fail: it is tried again after twice the time each, and its last error ends the job. Null names aren't asked.
+    """
+    from time import sleep
+
+    def ask(wanted: list[str]) -> dict[str, str]:
+        for k in range(tries):
+            try:
+                return fetch(wanted)
+            except OSError:
+                if k == tries - 1:
+                    raise
+                sleep(wait * 2**k)
+        return {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in range(0, len(pdf), batch):
+                own = list(pdf[column].iloc[k : k + batch])
+                found = ask(own)
+                lost = {n: n.split()[0] for n in own if n not in found and len(n.split()) > 1}
+                again = ask(sorted(set(lost.values()))) if lost else {}
+                yield pd.DataFrame({column: own, "found": [found.get(n, again.get(lost.get(n, ""))) for n in own]}, dtype=object)
+
+    return names.select(column).where(F.col(column).isNotNull()).distinct().mapInPandas(run, f"{column} string, found string")
 
 
 def supplement_from_cache(table: DataFrame, cache: DataFrame, key: str, aliases: dict[str, str] | None = None) -> DataFrame:
     """Adds the cache's rows of keys that the table lacks. aliases: the cache's column names to the table's."""
     rows = cache.withColumnsRenamed(aliases or {})
-    rows = rows.select(*[c for c in table.columns if c in rows.columns]).where(F.col(key).isNotNull()).dropDuplicates([key])
+    have = [c for c in table.columns if c in rows.columns]
+    rows = first_row(rows.select(*have).where(F.col(key).isNotNull()), [key], [F.col(c).asc_nulls_last() for c in have])
     return table.unionByName(rows.join(table.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
 
 

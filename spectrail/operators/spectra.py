@@ -199,6 +199,42 @@ def shifted_cosine(x: Peaks, y: Peaks, x_precursor: float, y_precursor: float, d
     return sum(weights[p] for p in chosen), len(chosen), sum(x[i][1] for i, _ in chosen) / sx, sum(y[j][1] for _, j in chosen) / sy
 
 
+def joined_peaks(x: Peaks, y: Peaks, x_precursor: float, y_precursor: float, dalton: float, ppm: float) -> list[tuple[int | None, int | None]]:
+    """Outer join of two spectra's peaks by their places: all pairs, as they are or moved by the precursors' difference, then what is left of x and of y."""
+    pairs = set(_closest(x, y, 0.0, dalton, ppm).items())
+    shift = y_precursor - x_precursor
+    if abs(shift) > dalton:
+        pairs |= set(_closest(x, y, shift, dalton, ppm).items())
+    left, right = {i for i, _ in pairs}, {j for _, j in pairs}
+    return [*sorted(pairs), *((i, None) for i in range(len(x)) if i not in left), *((None, j) for j in range(len(y)) if j not in right)]
+
+
+def aligned_score(rows: list[tuple[float | None, float | None, float | None, float | None]]) -> tuple[float, int]:
+    """(score, matches) of peaks that are joined already: rows (m/z, intensity) of x and of y, None on the side that has no peak.
+
+    Equal m/z on a side are one peak; of the pairs those with the greatest sum of square-rooted intensity products count.
+    """
+    x = {m: i for m, i, _, _ in reversed(rows) if m is not None}
+    y = {m: i for _, _, m, i in reversed(rows) if m is not None}
+    sx, sy = sum(x.values()), sum(y.values())
+    if sx <= 0 or sy <= 0:
+        return 0.0, 0
+    at, to = {m: k for k, m in enumerate(sorted(x))}, {m: k for k, m in enumerate(sorted(y))}
+    weights: dict[tuple[int, int], float] = {}
+    for a, i, b, j in rows:
+        if a is not None and b is not None:
+            pair = at[a], to[b]
+            weights[pair] = max(weights.get(pair, 0.0), sqrt(i * j / (sx * sy)))
+    chosen = _best_matching(weights) if weights else []
+    return sum(weights[p] for p in chosen), len(chosen)
+
+
+def aligned_cosine(x: Column, y: Column) -> Column:
+    """Cosine of square-rooted intensities of spectra whose peaks lie at the same places, in the JVM."""
+    products = F.zip_with(x, y, lambda p, q: F.sqrt(p["intensity"] * q["intensity"]))
+    return F.aggregate(products, F.lit(0.0), lambda a, v: a + v) / F.sqrt(total(x) * total(y))
+
+
 def entropy_similarity(x: Peaks, y: Peaks, dalton: float, ppm: float) -> float:
     """1 minus the entropy gained by mixing two spectra, over its greatest value; spectra of low entropy are evened out first."""
 
@@ -295,30 +331,48 @@ def score_histogram(df: DataFrame, score: str, bins: int = 10) -> DataFrame:
 
 
 def reduce_library(library: DataFrame, queries: DataFrame, tolerance: Tolerance) -> DataFrame:
-    """Library rows with a query precursor in their window. library and queries have precursor_mz."""
-    reach = tolerance.window(F.col("precursor_mz"))
-    ranged = library.withColumn("__low", F.col("precursor_mz") - reach).withColumn("__high", F.col("precursor_mz") + reach)
+    """Library rows with a query in their window, by precursor m/z or, if both tables have neutral_mass, by that. library and queries have precursor_mz."""
     width = max(2 * tolerance.dalton, 2e-6 * tolerance.ppm * 1_000)
-    return ranges_hit(ranged, queries, "precursor_mz", "__low", "__high", width).drop("__low", "__high")
+
+    def hit(column: str) -> DataFrame:
+        reach = tolerance.window(F.col(column))
+        ranged = library.withColumn("__low", F.col(column) - reach).withColumn("__high", F.col(column) + reach)
+        return ranges_hit(ranged, queries, column, "__low", "__high", width).drop("__low", "__high")
+
+    if "neutral_mass" not in library.columns or "neutral_mass" not in queries.columns:
+        return hit("precursor_mz")
+    return hit("precursor_mz").unionByName(hit("neutral_mass")).dropDuplicates()
 
 
 def annotate_spectra(queries: DataFrame, library: DataFrame, tolerance: Tolerance, threshold: float, method: str = "gnps") -> DataFrame:
     """Best library match of each query spectrum and structure above the threshold.
 
-    queries: feature_id, precursor_mz, peaks, adduct; library: spectrum_id, structure, precursor_mz, peaks, adduct. As in
-    the output model, candidate_adduct is the query's adduct and candidate_query_adduct the library's.
+    queries: feature_id, precursor_mz, peaks, adduct; library: spectrum_id, structure, precursor_mz, peaks, adduct. Spectra
+    meet by precursor m/z and, if both tables have neutral_mass, by that too, as ions of one molecule: such a pair is
+    compared without moved peaks. The mode is exact_adduct for equal adducts, m_delta_rescued for pairs that only the
+    mass brought together, else precursor_mz. As in the output model, candidate_adduct is the query's adduct and
+    candidate_query_adduct the library's. Empty spectra match nothing.
     """
     from spectrail.operators.intervals import range_join
     from spectrail.operators.keys import first_row
 
-    reach = tolerance.window(F.col("precursor_mz"))
-    lib = library.select("spectrum_id", "structure", F.col("adduct").alias("candidate_query_adduct"), F.col("peaks").alias("lib_peaks"), F.col("precursor_mz").alias("lib_mz"), (F.col("precursor_mz") - reach).alias("low"), (F.col("precursor_mz") + reach).alias("high"))
-    q = queries.select("feature_id", F.col("adduct").alias("candidate_adduct"), "peaks", "precursor_mz")
     width = max(2 * tolerance.dalton, 2e-6 * tolerance.ppm * 1_000)
-    met = range_join(q, lib, "precursor_mz", "low", "high", width).withColumn("s", similarity(method, tolerance.dalton, tolerance.ppm)("peaks", "lib_peaks", "precursor_mz", "lib_mz"))
-    mode = F.when(F.col("candidate_adduct") == F.col("candidate_query_adduct"), "exact_adduct").otherwise("precursor_mz")
-    good = met.where(F.col("s.score") >= threshold).select("feature_id", "structure", "spectrum_id", "candidate_adduct", "candidate_query_adduct", mode.alias("candidate_adduct_match_mode"), F.col("s.score").alias("candidate_score_similarity"), F.col("s.forward").alias("candidate_score_similarity_forward"), F.col("s.reverse").alias("candidate_score_similarity_reverse"), F.col("s.matches").alias("candidate_count_similarity_peaks_matched"))
-    return first_row(good, ["feature_id", "structure"], [F.desc("candidate_score_similarity"), F.desc("candidate_count_similarity_peaks_matched"), F.asc("spectrum_id")])
+    kernel = similarity(method, tolerance.dalton, tolerance.ppm)
+    there = F.size("peaks") > 0
+
+    def met(column: str, otherwise: str) -> DataFrame:
+        reach = tolerance.window(F.col(column))
+        lib = library.where(there).select("spectrum_id", "structure", F.col("adduct").alias("candidate_query_adduct"), F.col("peaks").alias("lib_peaks"), F.col(column).alias("lib_mz"), (F.col(column) - reach).alias("low"), (F.col(column) + reach).alias("high"))
+        q = queries.where(there).select("feature_id", F.col("adduct").alias("candidate_adduct"), "peaks", F.col(column).alias("own_mz"))
+        pairs = range_join(q, lib, "own_mz", "low", "high", width).withColumn("s", kernel("peaks", "lib_peaks", "own_mz", "lib_mz"))
+        mode = F.when(F.col("candidate_adduct") == F.col("candidate_query_adduct"), "exact_adduct").otherwise(otherwise)
+        return pairs.where(F.col("s.score") >= threshold).withColumn("candidate_adduct_match_mode", mode)
+
+    found = met("precursor_mz", "precursor_mz")
+    if "neutral_mass" in queries.columns and "neutral_mass" in library.columns:
+        found = found.unionByName(met("neutral_mass", "m_delta_rescued"))
+    good = found.select("feature_id", "structure", "spectrum_id", "candidate_adduct", "candidate_query_adduct", "candidate_adduct_match_mode", F.col("s.score").alias("candidate_score_similarity"), F.col("s.forward").alias("candidate_score_similarity_forward"), F.col("s.reverse").alias("candidate_score_similarity_reverse"), F.col("s.matches").alias("candidate_count_similarity_peaks_matched"))
+    return first_row(good, ["feature_id", "structure"], [F.desc("candidate_score_similarity"), F.desc("candidate_count_similarity_peaks_matched"), F.asc("spectrum_id"), F.asc("candidate_adduct_match_mode")])
 
 
 def combine_replicates(spectra: DataFrame, dalton: float = 0.01, ppm: float = 10.0) -> DataFrame:

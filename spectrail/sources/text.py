@@ -6,7 +6,6 @@ A parser takes the text as a DataFrame, so files of any size are split among tas
 from __future__ import annotations
 
 import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,9 +13,9 @@ from pyspark.sql import functions as F
 from spectrail.functions.scalars import NULL_TEXTS
 
 
-def read_delimited(spark: SparkSession, path: str, separator: str | None = None, columns: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], separator: str | None = None, columns: list[str] | None = None, required: list[str] | None = None) -> DataFrame:
     """All-string table from a CSV or TSV file (gzip by its name), marks for null read as null; only the wanted columns are kept."""
-    separator = separator or ("," if ".csv" in path else "\t")
+    separator = separator or ("," if ".csv" in str(path) else "\t")
     df = spark.read.csv(path, sep=separator, header=True, inferSchema=False, nullValue="", enforceSchema=False)
     missing = [c for c in required or [] if c not in df.columns]
     if missing:
@@ -43,16 +42,18 @@ def charge_number(text: Column) -> Column:
 
 
 def parse_mgf(blocks: DataFrame) -> DataFrame:
-    """Spectra of MGF text cut at END IONS (column value): feature_id, title, precursor_mz, charge, rt (minutes), name, inchikey, smiles, peaks.
+    """Spectra of MGF text cut at END IONS (column value): feature_id, title, precursor_mz, adduct, ms_level, charge, rt (minutes), name, inchikey, smiles, peaks.
 
     Headers may come in any order, peaks too; the feature's id falls back to the title. Blocks without BEGIN IONS are no spectra.
     """
     b = F.col("value")
     rows = blocks.where(b.contains("BEGIN IONS"))
     return rows.select(
-        F.coalesce(_header(b, "FEATURE_ID"), F.nullif(F.regexp_extract(_header(b, "TITLE"), r"id[=:_ ]*(\S+)", 1), F.lit("")), _header(b, "TITLE")).alias("feature_id"),
+        F.coalesce(_header(b, "FEATURE_ID"), _header(b, "SCANS"), F.nullif(F.regexp_extract(_header(b, "TITLE"), r"id[=:_ ]*(\S+)", 1), F.lit("")), _header(b, "TITLE")).alias("feature_id"),
         _header(b, "TITLE").alias("title"),
-        F.split(_header(b, "PEPMASS"), r"\s+")[0].try_cast("double").alias("precursor_mz"),
+        F.split(F.coalesce(_header(b, "PEPMASS"), _header(b, "PRECURSOR_MZ")), r"\s+")[0].try_cast("double").alias("precursor_mz"),
+        F.coalesce(_header(b, "ADDUCT"), _header(b, "ION")).alias("adduct"),
+        F.coalesce(_header(b, "MSLEVEL"), _header(b, "MS_LEVEL")).try_cast("int").alias("ms_level"),
         charge_number(_header(b, "CHARGE")).alias("charge"),
         (_header(b, "RTINSECONDS").try_cast("double") / 60).alias("rt"),
         _header(b, "NAME").alias("name"),
@@ -145,7 +146,8 @@ def read_mztab_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Sections of an mzTab-M JSON file: metadata as key and value, and one table per row array."""
     doc = spark.read.json(path, multiLine=True)
     names = {"smallMoleculeSummary": "sml", "smallMoleculeFeature": "smf", "smallMoleculeEvidence": "sme"}
-    out = {short: doc.select(F.explode(long).alias("r")).select("r.*") for long, short in names.items() if long in doc.columns}
+    rows = dict(doc.dtypes)  # an empty row array has no columns
+    out = {short: doc.select(F.explode(long).alias("r")).select("r.*") for long, short in names.items() if rows.get(long, "").startswith("array<struct<")}
     meta = [f.name for f in doc.select("metadata.*").schema.fields]
     out["metadata"] = doc.select("metadata.*").select(*[F.to_json(F.struct(F.col(c).alias("v"))).alias(c) for c in meta]).unpivot([], meta, "key", "value").withColumn("value", F.get_json_object("value", "$.v"))
     return out
@@ -161,18 +163,72 @@ def mztab_features(tables: dict[str, DataFrame]) -> DataFrame:
     return first.join(smf, "ref", "left").select("feature_id", "rt", "mz", F.coalesce("own_adduct", "adduct").alias("adduct"))
 
 
-def read_sirius(spark: SparkSession, path: str, name: str, target: str) -> DataFrame | None:
-    """A table of a fingerprint-search export, from a directory or a zip archive (its members are laid out under target); None if it isn't there."""
-    at = Path(path)
-    if at.suffix == ".zip":
-        with zipfile.ZipFile(at) as z:
-            members = [m for m in z.namelist() if m.rsplit("/", 1)[-1] == name]
-            for m in members:
-                z.extract(m, target)
-        files = [str(Path(target) / m) for m in members]
-    else:
-        files = [str(f) for f in at.rglob(name)]
-    return read_delimited(spark, files[0], "\t") if len(files) == 1 else (spark.read.csv(files, sep="\t", header=True) if files else None)
+def _unzipped(name: str):
+    """A function that gives the lines of all members of that file name in zip archives (path, content) as (member, n, value)."""
+
+    def run(batches):
+        import io
+
+        import pandas as pd
+
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for m in (m for m in z.namelist() if m.rsplit("/", 1)[-1] == name):
+                        with z.open(m) as raw:
+                            lines = [x.rstrip("\r\n") for x in io.TextIOWrapper(raw, "utf-8")]
+                        yield pd.DataFrame({"member": f"{path}!{m}", "n": range(len(lines)), "value": lines})
+
+    return run
+
+
+def read_sirius(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table of fingerprint-search exports, from a directory or a zip archive (or several by a pattern); None if it isn't there.
+
+    Archives are read by the workers as binary files, one a task; only the header line comes to the driver. Cells are text,
+    marks for null read as null; members whose columns are in another order are read by their own header.
+    """
+    if not path.endswith(".zip"):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(path).select("path")
+        found = [r.path for r in files.limit(10_000).collect()]
+        return read_delimited(spark, found, "\t") if found else None
+    lines = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_unzipped(name), "member string, n long, value string")
+    heads = lines.where("n = 0").select("value").distinct().collect()
+    if not heads:
+        return None
+    columns = list(dict.fromkeys(c for r in heads for c in r.value.split("\t")))
+    head = lines.where("n = 0").select("member", F.split("value", "\t").alias("names"))
+    rows = lines.where("n > 0 AND value <> ''").join(head, "member").withColumn("cells", F.split("value", "\t"))
+
+    def cell(c: str) -> Column:
+        text = F.get("cells", (F.array_position("names", c) - 1).cast("int"))
+        return F.when((F.array_position("names", c) > 0) & ~text.isin(NULL_TEXTS), text).alias(c)
+
+    return rows.select(*[cell(c) for c in columns])
+
+
+def read_bigg(spark: SparkSession, path: str) -> DataFrame:
+    """Metabolites of a BiGG JSON model: id, name, formula, inchi_key (the first of several)."""
+    doc = spark.read.json(path, multiLine=True).select(F.explode("metabolites").alias("m"))
+    fields = doc.select("m.*")
+    notes = fields.select("annotation.*").columns if "annotation" in fields.columns else []
+    key = "inchi_key" if "inchi_key" in notes else None
+    kind = dict(fields.select("annotation.*").dtypes).get(key, "string") if key else "string"
+    inchi = F.lit(None).cast("string") if key is None else F.get(f"annotation.{key}", F.lit(0)) if kind.startswith("array") else F.col(f"annotation.{key}")
+    return fields.select("id", "name", *(["formula"] if "formula" in fields.columns else [F.lit(None).cast("string").alias("formula")]), inchi.alias("inchi_key"))
+
+
+def harmonized_spectra(spectra: DataFrame, polarity: str | None = None, level: int | None = None) -> DataFrame:
+    """Spectra of one polarity (the sign of the charge, else the adduct's last sign; unknown ones stay) and one MS level (unknown ones stay)."""
+    out = spectra
+    if polarity is not None:
+        want = 1 if polarity == "pos" else -1
+        said = F.when(F.col("adduct").rlike(r"\+$"), 1).when(F.col("adduct").rlike(r"-$"), -1) if "adduct" in spectra.columns else F.lit(None).cast("int")
+        sign = F.coalesce(F.signum("charge").cast("int"), said) if "charge" in spectra.columns else said
+        out = out.where(sign.isNull() | (sign == want))
+    if level is not None and "ms_level" in spectra.columns:
+        out = out.where(F.col("ms_level").isNull() | (F.col("ms_level") == level))
+    return out
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
