@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from spectrail.llm.contamination import ALTERED, EXACT_WORDS, PASSAGE_WORDS, ItemIndex, Words, canonical_word, fewest_edits, find_leaks, leaks_of
+from spectrail.llm.contamination import ALTERED, EXACT_WORDS, PASSAGE_WORDS, ItemIndex, Words, canonical_word, fewest_edits, find_leaks, leaks_of, template_word
 from spectrail.llm.language import CODES, HOLE, Model, Parser, clean_text, cross_parse, find_segments, fit, label_code, letters_of, model_of, segments_of
 from spectrail.llm.name_matching import Matcher, SimilarWords, aliases_of, allowed, edits, match_names, tokens
 from spectrail.llm.tokenizer import TOKENIZERS, PerfectHash, encode_corpus, encoder, read_vocabulary
@@ -164,7 +164,8 @@ def test_leaks_equal_brute_force():
             part[k : k + rng.randrange(2)] = rng.choice([[], ["new"], [rng.choice(words)]])
             part = part or ["x"]
         texts.append(" ".join([*(rng.choice(words) for _ in range(9)), *(w.upper() if rng.random() < 0.2 else f"<b>{w}</b>," if rng.random() < 0.1 else w for w in part), *(rng.choice(words) for _ in range(5))]))
-    got = {(d, i) for d, i, kind, _ in leaks_of(ItemIndex(list(range(len(items))), items), Words(), texts) if kind != "reparameterised"}
+    index = ItemIndex(list(range(len(items))), items)
+    got = {(d, i) for d, i, kind, _ in leaks_of(index, Words(index.common), texts) if kind != "reparameterised"}
     plain = [[c for w in (t or "").replace("<b>", "").replace("</b>", "").split() if (c := canonical_word(w))] for t in texts]
     want = {(d, i) for d, t in enumerate(plain) for i, item in enumerate(items) if _passage_exists(item.split(), t)}
     assert got == want and len(want) > 15
@@ -187,6 +188,38 @@ def test_reparameterised_and_table(spark):
     assert find_leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+def test_words_are_typed_by_use():
+    common = frozenset({"peak", "sodium"})
+    assert [template_word(w, common) for w in ("animal", "certain", "peak", "the", "14th", "seconds", "5oxokelosine")] == ["<name>", "<name>", "peak", "the", "<number>", "<unit>", "<name>"]
+
+
+QUESTIONS = ["How many scans of {0} must the operator record before {1} at {2} seconds shows a second shoulder", "Which of both buffers lets {0} leave the column once {1} has been kept at {2} degrees for two days", "Why could the blank after {0} hold a trace of {1} although the needle was washed with {2} ml of methanol", "Decide whether {0} or {1} explains the loss of {2} dalton in spectra that the older trap recorded"]
+ANSWERS = ["Answer key: report {0} and give full marks only if the tolerance of {1} is named", "Model solution: reject {0} because no sibling ion reaches {1} within the window", "Expected verdict: rank {0} first, since its ring cleavage yields {1} in every scan"]
+
+
+def _filled(rng, text):
+    name = lambda: "".join(rng.choice(["ra", "no", "vi", "tel", "mor", "qua"]) for _ in range(4))
+    return text.format(name(), name(), rng.randrange(1_000))
+
+
+def test_planted_questions_are_found_and_boilerplate_is_not(spark):
+    """Items share questions and answers; documents hold items under other names and numbers, or an answer alone."""
+    rng = random.Random(13)
+    kinds = [(q, a) for q in QUESTIONS for a in ANSWERS]
+    items = [f"{_filled(rng, q)}? {_filled(rng, a)}." for q, a in kinds]
+    filler = "the results of this week were stored with the other files of the project and nobody has looked at them since"
+    whole = [(k, f"{filler}. {_filled(rng, kinds[k][0])}? {_filled(rng, kinds[k][1])}. {filler}") for k in range(12) for _ in range(4)]
+    empty = [(-1, f"{filler}. {_filled(rng, a)}. {filler}") for a in ANSWERS for _ in range(4)]
+    data = [(n, k, t) for n, (k, t) in enumerate(whole + empty)] + [(900, -1, None), (901, -1, "")]
+    docs, table = spark.createDataFrame(data, "doc_id long, k long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = [sorted((r.doc_id, r.item_id, r.kind, r.n_words) for r in find_leaks(docs, "doc_id", "text", table, "item_id", "text", block_items=b, hot_rows=3).collect()) for b in (100, 3)]
+    assert got[0] == got[1]
+    want = {(n, k) for n, k, _ in data if k >= 0}
+    found = {(d, i) for d, i, *_ in got[0]}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+    assert not {d for d, _ in found} & {n for n, k, _ in data if k < 0}
+
+
 def test_parser_takes_longest_matches():
     texts = {"en": "abracadabra cab ", "de": "cada abba 0 zz ", "ru": "абв аб "}
     parser = Parser(Model(texts))
