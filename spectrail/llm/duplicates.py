@@ -49,7 +49,7 @@ def canonical_groups(df: DataFrame, scope: str, text: str, row_id: str) -> DataF
     Rows with a null scope or text, and cells without any letter or digit, belong to no group.
     """
     raw = df.where(F.col(scope).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(scope).alias("scope"), F.col(text).alias("text")).agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
-    raw = cut(raw)
+    # Both ways start from this one exchange, which Spark reuses.
     ascii_only = F.length("text") == F.octet_length("text")
     plain = raw.where(ascii_only).withColumn("canonical", _canonical_ascii(F.col("text")))
     other = raw.where(~ascii_only).withColumn("canonical", _canonical(F.col("text")))
@@ -72,9 +72,8 @@ def find_copies(df: DataFrame, scope: str, text: str, row_id: str, hot_rows: int
     groups = cells.groupBy("scope", "canonical").agg(F.min("first").alias("first_id"), F.sum("n").alias("copies"), F.count("*").alias("spellings"))
     groups = cut(groups.where("copies > 1"))
     hot = hot_keys(groups, ["scope", "canonical"], "spellings", hot_rows)
-    mapped = salted_join(cells, groups.select("scope", "canonical", "first_id"), ["scope", "canonical"], hot, F.hash("text"))
-    mapped = cut(mapped.select("scope", "text", "n", "first_id"))
-    hot = hot_keys(mapped, ["scope", "text"], "n", hot_rows)
+    mapped = salted_join(cells.select("scope", "text", "canonical"), groups.select("scope", "canonical", "first_id"), ["scope", "canonical"], hot, F.hash("text"))
+    hot = hot_keys(cells, ["scope", "text"], "n", hot_rows)
     rows = df.select(F.col(scope).alias("scope"), F.col(text).alias("text"), F.col(row_id).alias("id"))
-    found = salted_join(rows, mapped.drop("n"), ["scope", "text"], hot, F.col("id").cast("int"))
+    found = salted_join(rows, mapped.select("scope", "text", "first_id"), ["scope", "text"], hot, F.col("id").cast("int"))
     return found.where("id <> first_id").select("first_id", "id")
