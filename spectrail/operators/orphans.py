@@ -98,15 +98,12 @@ def find_orphans(child: References, parent: DataFrame, hot_rows: int = HOT_ROWS)
     live = groups.verdicts.where("verdict = 'live'").select("key", "day")
     mixed = groups.verdicts.where("verdict = 'mixed'").select("key", "day", "base")
     heavy = bounded(groups.heavy)
-    lost, unsure = [], []
-    for part, fit in (("left_semi", bounded), ("left_anti", lambda x: x)):
-        own = rows.join(heavy, "key", part)
-        pick = (lambda x: fit(cut(x.join(heavy, "key", "left_semi")))) if part == "left_semi" else (lambda x: x.join(heavy, "key", "left_anti"))
-        left = own.join(pick(live), ["key", "day"], "left_anti").join(pick(mixed), ["key", "day"], "left")
-        lost.append(left.where(F.col("base").isNull()).select("id", "key", "t"))
-        unsure.append(left.where(F.col("base").isNotNull()))
-    late = _mixed(unsure[0].unionByName(unsure[1]), groups.events, mixed)
-    found = lost[0].unionByName(lost[1]).unionByName(late)
+    # The live groups of heavy keys are few (a key has a group per day) and broadcast, those of all others are shuffled.
+    loud = rows.join(heavy, "key", "left_semi").join(bounded(cut(live.join(heavy, "key", "left_semi"))), ["key", "day"], "left_anti")
+    quiet = rows.join(heavy, "key", "left_anti").join(live.join(heavy, "key", "left_anti"), ["key", "day"], "left_anti")
+    left = cut(loud.unionByName(quiet).join(mixed, ["key", "day"], "left"))
+    late = _mixed(left.where(F.col("base").isNotNull()), groups.events, mixed)
+    found = left.where(F.col("base").isNull()).select("id", "key", "t").unionByName(late)
     return found.select(F.lit(child.table).alias("child_table"), F.col("id").alias("child_id"), F.date_format("t", "yyyy-MM").alias("period")), groups
 
 
