@@ -35,7 +35,7 @@ def canonical_text(text: str) -> str:
 
 @F.pandas_udf(StringType())
 def _canonical(texts: pd.Series) -> pd.Series:
-    return texts.map(canonical_text)
+    return texts.map(canonical_text, na_action="ignore")
 
 
 def _canonical_ascii(c: Column) -> Column:
@@ -49,11 +49,10 @@ def canonical_groups(df: DataFrame, scope: str, text: str, row_id: str) -> DataF
     Rows with a null scope or text, and cells without any letter or digit, belong to no group.
     """
     raw = df.where(F.col(scope).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(scope).alias("scope"), F.col(text).alias("text")).agg(F.count("*").alias("n"), F.min(row_id).alias("first"))
-    # Both ways start from this one exchange, which Spark reuses.
+    # One pass over the distinct cells: Python sees the text of those that aren't plain ASCII, and a null for the others.
     ascii_only = F.length("text") == F.octet_length("text")
-    plain = raw.where(ascii_only).withColumn("canonical", _canonical_ascii(F.col("text")))
-    other = raw.where(~ascii_only).withColumn("canonical", _canonical(F.col("text")))
-    return plain.unionByName(other).where(F.col("canonical") != "")
+    canonical = F.when(ascii_only, _canonical_ascii(F.col("text"))).otherwise(_canonical(F.when(~ascii_only, F.col("text"))))
+    return raw.withColumn("canonical", canonical).where(F.col("canonical") != "")
 
 
 def collapse_formatting(df: DataFrame, scope: str, text: str, row_id: str) -> DataFrame:
