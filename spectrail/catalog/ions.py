@@ -315,7 +315,7 @@ _UNIVERSE = universe_rows({"H": 1, "Na": 1, "K": 1}, [1], [1, 2], [], ["H2O"])
 SQL["formula_masses"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), m(e, w) AS (VALUES {", ".join(f"('{e}', {w!r}::DOUBLE)" for e, w in _ELEMENTS)})
 SELECT f.formula, round(sum(n * w), 4) AS mass FROM f LEFT JOIN a ON a.formula = f.formula LEFT JOIN m ON m.e = a.e GROUP BY 1"""
 SQL["loss_feasibility"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), k AS (SELECT formula, sum(n) FILTER (e = 'H') AS h, sum(n) FILTER (e = 'O') AS o FROM a GROUP BY 1)
-SELECT metadata_id FROM structures_metadata LEFT JOIN k ON formula = structure_molecular_formula WHERE structure_molecular_formula IS NULL OR (coalesce(h, 0) >= 20 AND coalesce(o, 0) >= 10)"""
+SELECT metadata_id FROM structures_metadata LEFT JOIN k ON formula = structure_molecular_formula WHERE structure_molecular_formula IS NULL OR NOT regexp_full_match(structure_molecular_formula, '([A-Z][a-z]?\\d*)+') OR (coalesce(h, 0) >= 20 AND coalesce(o, 0) >= 10)"""
 SQL["evidence_engine"] = f"""WITH {_EVENT_FEATURES}, un(x, n, z, am, tier) AS (VALUES {rows_of(_UNIVERSE)}), lib AS (SELECT DISTINCT structure_exact_mass AS em FROM structures_metadata WHERE structure_exact_mass > 0), {evidence_sql("ft", 10.0, 0.01, 600.0)}
 SELECT f AS feature_id, x AS adduct, em AS exact_mass, CAST(peers AS INT) AS n_peers, tier FROM ev"""
 _EVEN = """q AS (SELECT vec_id, label, mz, v / s AS w FROM p JOIN t USING (vec_id, label) WHERE v > 0), h AS (SELECT vec_id, -sum(w * ln(w)) AS e FROM q GROUP BY 1),

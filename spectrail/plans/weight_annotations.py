@@ -81,8 +81,9 @@ def with_predictions(rows: DataFrame, votes: DataFrame, levels: list[str]) -> Da
 def clean_candidates(rows: DataFrame, components: DataFrame | None, settings: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ranked, kept, counts): candidates ranked, aligned within compounds and with their ties capped; those of the percentile; and how many of both per feature."""
     tie = "candidate_id"
-    full = rank_candidates(best_per_structure(rows, "score_weighted_chemo", [tie]))
-    full = promote_anchors(full, components) if components is not None else full.withColumn("promoted", F.lit(False))
+    # Written out before each step that meets its rows with rows of their own; all windows are within features.
+    full = cut(rank_candidates(best_per_structure(rows.repartition("feature_id"), "score_weighted_chemo", [tie])))
+    full = cut(promote_anchors(full, components)) if components is not None else full.withColumn("promoted", F.lit(False))
     evidence = [
         F.col("candidate_score_similarity").desc_nulls_last(), F.col("candidate_score_sirius_confidence").desc_nulls_last(), F.col("candidate_structure_error_rt").isNull(), F.desc("promoted"),
         F.col("score_weighted_chemo").desc_nulls_last(), F.col("candidate_score_pseudo_initial").desc_nulls_last(),
