@@ -52,21 +52,14 @@ def entropy_similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _same_label(spark, sf_dir).select("feature_id", "other", F.round(s["score"], 6).alias("score"))
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra of the strongest peaks alone."""
-    rows = _spectra(spark, sf_dir)
-    strong = F.filter("peaks", lambda p: p["intensity"] > 0.27)
-    return rows.withColumn("peaks", strong).where(F.size("peaks") >= 2)
-
-
 def spectra_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sparse(spark, sf_dir)
-    edges = similarity_edges(rows, "gnps", threshold=0.6, least_matches=2)
+    rows = _spectra(spark, sf_dir)
+    edges = similarity_edges(rows, "gnps", threshold=0.9, least_matches=2)
     return with_isolated(edges.select("feature_source", "feature_target", F.round("candidate_score_similarity", 6).alias("candidate_score_similarity"), "matches"), rows)
 
 
 def spectra_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sparse(spark, sf_dir).withColumn("adduct", F.lit("[M+H]+"))
+    rows = _spectra(spark, sf_dir).withColumn("adduct", F.lit("[M+H]+"))
     library = rows.select(F.col("feature_id").alias("spectrum_id"), F.concat(F.lit("S"), "label").alias("structure"), "precursor_mz", "peaks", "adduct")
     return annotate_spectra(rows, library, Tolerance(10.0, 0.01), 0.9).select("feature_id", "structure", "spectrum_id", "candidate_adduct_match_mode")
 
@@ -186,7 +179,7 @@ def prefix_dispatch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mgf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spectra as MGF text and read again."""
-    rows = _sparse(spark, sf_dir).withColumn("feature_id", F.col("feature_id").cast("string"))
+    rows = _spectra(spark, sf_dir).withColumn("feature_id", F.col("feature_id").cast("string"))
     blocks = rows.select(F.regexp_replace(mgf_block(F.col("feature_id"), F.col("precursor_mz"), F.lit(-1), F.col("label") / 2, F.col("peaks")), "END IONS$", "").alias("value"))
     read = parse_mgf(blocks)
     return read.select(F.col("feature_id").cast("long").alias("feature_id"), "precursor_mz", "charge", F.round("rt", 6).alias("rt"), F.size("peaks").cast("long").alias("n"))
@@ -298,7 +291,7 @@ SELECT a AS feature_id, b AS other, round(sum(m), 6) AS score FROM (SELECT a, b,
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events",
     "json_rows": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "prefix_dispatch_text": "WITH l AS (SELECT name_id, substr(structure_inchikey, 1, 3) || structure_name AS line FROM structures_names) SELECT substr(line, 1, 3) AS prefix, substr(line, 4) AS rest, row_number() OVER (PARTITION BY substr(line, 1, 3) ORDER BY name_id) AS place FROM l WHERE line IS NOT NULL",
-    "mgf_round_trip": f"WITH {_P}, k AS (SELECT vec_id, any_value(label) AS label, count(*) AS n FROM p WHERE v > 0.27 GROUP BY 1 HAVING count(*) >= 2) SELECT vec_id AS feature_id, (SELECT max(len(embedding)) FROM embeddings) + label + 2.0::DOUBLE AS precursor_mz, -1 AS charge, round(label / 2, 6) AS rt, n FROM k",
+    "mgf_round_trip": f"WITH {_P}, k AS (SELECT vec_id, any_value(label) AS label, count(*) AS n FROM p GROUP BY 1) SELECT vec_id AS feature_id, (SELECT max(len(embedding)) FROM embeddings) + label + 2.0::DOUBLE AS precursor_mz, -1 AS charge, round(label / 2, 6) AS rt, n FROM k",
     "sdf_records": "SELECT stereo_id::VARCHAR AS id, regexp_replace(structure_inchikey, '\\s', '', 'g') AS inchikey FROM structures_stereo WHERE structure_name IS NOT NULL AND structure_inchikey IS NOT NULL",
     "mztab_round_trip": f"SELECT feature_id, candidate_adduct AS adduct, 100.5::DOUBLE AS mz FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1",
     "mztab_features": f"WITH b AS (SELECT {LAYER} AS l FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1) SELECT 2.0::DOUBLE AS rt, 100.5::DOUBLE AS mz, count(DISTINCT coalesce(l, '-')) AS n FROM b",
@@ -312,6 +305,8 @@ _ELEMENTS = [("C", 12.0), ("H", 1.00782503223), ("N", 14.00307400443), ("O", 15.
 _ATOMS = "SELECT formula, regexp_extract(u, '^[A-Z][a-z]?') AS e, coalesce(try_cast(nullif(regexp_extract(u, '\\d+$'), '') AS INT), 1) AS n FROM (SELECT formula, unnest(regexp_extract_all(formula, '[A-Z][a-z]?\\d*')) AS u FROM f)"
 _EVENT_FEATURES = "ft AS (SELECT event_id AS f, user_id AS s, epoch_us(ts) / 60000000 AS rt, value + 100 AS mz FROM events)"
 _UNIVERSE = universe_rows({"H": 1, "Na": 1, "K": 1}, [1], [1, 2], [], ["H2O"])
+SQL["spectra_annotation"] = f"""WITH {_COS}, s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label, count(*) AS n, sum(sqrt(p.v * q.v)) / sqrt(any_value(x.s) * any_value(y.s)) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label JOIN p ON p.vec_id = a.vec_id JOIN p q ON q.vec_id = b.vec_id AND q.mz = p.mz JOIN t x ON x.vec_id = a.vec_id JOIN t y ON y.vec_id = b.vec_id GROUP BY 1, 2, 3)
+SELECT a AS feature_id, 'S' || label AS structure, b AS spectrum_id, 'exact_adduct' AS candidate_adduct_match_mode FROM s WHERE score >= 0.9 QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, n DESC, b) = 1"""
 SQL["formula_masses"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), m(e, w) AS (VALUES {", ".join(f"('{e}', {w!r}::DOUBLE)" for e, w in _ELEMENTS)})
 SELECT f.formula, round(sum(n * w), 4) AS mass FROM f LEFT JOIN a ON a.formula = f.formula LEFT JOIN m ON m.e = a.e GROUP BY 1"""
 SQL["loss_feasibility"] = f"""WITH f AS (SELECT DISTINCT structure_molecular_formula AS formula FROM structures_metadata WHERE structure_molecular_formula IS NOT NULL), a AS ({_ATOMS}), k AS (SELECT formula, sum(n) FILTER (e = 'H') AS h, sum(n) FILTER (e = 'O') AS o FROM a GROUP BY 1)

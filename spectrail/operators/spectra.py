@@ -11,11 +11,12 @@ from math import log, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from spectrail.operators.intervals import Tolerance, ranges_hit
+from spectrail.session import cut
 
 PEAK = StructType([StructField("mz", DoubleType()), StructField("intensity", DoubleType())])
 PEAKS = ArrayType(PEAK)
@@ -176,6 +177,38 @@ def _best_matching(weights: dict[tuple[int, int], float]) -> list[tuple[int, int
             at = before
 
 
+def _best_pairs(weights: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """Pairs with the greatest total weight, each side used once.
+
+    Where no peak has more than two partners, as it is and moved, the pairs form chains, and along a chain the best choice
+    of edges that don't touch comes by going along once; anything else goes to the general search.
+    """
+    near: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for i, j in weights:
+        near.setdefault(("x", i), []).append((i, j))
+        near.setdefault(("y", j), []).append((i, j))
+    if max(map(len, near.values()), default=0) > 2:
+        return _best_matching(weights)
+    left, chosen = set(weights), []
+    for end in [n for n, edges in near.items() if len(edges) == 1]:
+        chain, at = [], end
+        while (edge := next((e for e in near[at] if e in left), None)) is not None:
+            left.discard(edge)
+            chain.append(edge)
+            at = ("y", edge[1]) if at[0] == "x" else ("x", edge[0])
+        sums = [0.0, 0.0]
+        for e in chain:
+            sums.append(max(sums[-1], sums[-2] + weights[e]))
+        k = len(chain)
+        while k > 0:
+            if sums[k + 1] > sums[k]:
+                chosen.append(chain[k - 1])
+                k -= 2
+            else:
+                k -= 1
+    return chosen + (_best_matching({e: weights[e] for e in left}) if left else [])
+
+
 def shifted_cosine(x: Peaks, y: Peaks, x_precursor: float, y_precursor: float, dalton: float, ppm: float) -> tuple[float, int, float, float]:
     """Similarity of two spectra whose peaks may be moved by the difference of their precursors: (score, matches, forward, reverse).
 
@@ -195,7 +228,7 @@ def shifted_cosine(x: Peaks, y: Peaks, x_precursor: float, y_precursor: float, d
         best[i] = max(best.get(i, (-1.0, -1)), (w, -j))
     chosen = [(i, -j) for i, (_, j) in sorted(best.items())]
     if len({j for _, j in chosen}) < len(chosen):
-        chosen = _best_matching(weights)
+        chosen = _best_pairs(weights)
     return sum(weights[p] for p in chosen), len(chosen), sum(x[i][1] for i, _ in chosen) / sx, sum(y[j][1] for _, j in chosen) / sy
 
 
@@ -225,7 +258,7 @@ def aligned_score(rows: list[tuple[float | None, float | None, float | None, flo
         if a is not None and b is not None:
             pair = at[a], to[b]
             weights[pair] = max(weights.get(pair, 0.0), sqrt(i * j / (sx * sy)))
-    chosen = _best_matching(weights) if weights else []
+    chosen = _best_pairs(weights) if weights else []
     return sum(weights[p] for p in chosen), len(chosen)
 
 
@@ -294,22 +327,39 @@ def matched_peaks(x: list[float], y: list[float], dalton: float, ppm: float) ->
     return n
 
 
+def _needed_keys(keys: DataFrame, threshold: float) -> DataFrame:
+    """Per spectrum the rarest of its keys, so many that peaks with any of the others can't reach the threshold.
+
+    keys: feature_id, b, k (the key), p (the peak), i (its share of the intensity). A score is at most the root of the
+    share of intensity that pairs, so two spectra that share none of these rare keys stay below the threshold.
+    """
+    counts = keys.groupBy("b", "k").agg(F.countDistinct("feature_id").alias("n"))
+    ranked = keys.join(counts, ["b", "k"])
+    order = F.struct("n", "b", "k")
+    last = ranked.groupBy("feature_id", "p").agg(F.max(order).alias("last"), F.first("i").alias("i"))
+    # The keys in order of rarity; what all peaks that end later could still add.
+    own = Window.partitionBy("feature_id").orderBy(F.desc("last")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = last.withColumn("__later", F.sum("i").over(own))
+    limit = reach.where(F.col("__later") >= threshold**2 * (1 - 1e-9)).groupBy("feature_id").agg(F.max("last").alias("limit"))
+    return ranked.join(limit, "feature_id").where(order <= F.col("limit")).select("feature_id", "b", "k").distinct()
+
+
 def similarity_edges(spectra: DataFrame, method: str = "gnps", threshold: float = 0.0, least_matches: int = 1, dalton: float = 0.01, ppm: float = 10.0) -> DataFrame:
     """Edges between similar spectra: (feature_source, feature_target, candidate_score_similarity, matches), the smaller id first.
 
-    spectra: feature_id, precursor_mz, peaks. Only pairs that could score above 0 are compared: they share a peak, or a
-    loss from the precursor, within the tolerance. Both are found by a bucket join, so no pair of unlike spectra is formed.
+    spectra: feature_id, precursor_mz, peaks. Only pairs that could score above the threshold are compared: they share a
+    peak, or a loss from the precursor, within the tolerance, found by a bucket join; for the cosine kernels it must be one
+    of the rare ones without which the threshold is out of reach, so a peak that all spectra have forms no pairs. No pair
+    is lost. Spectra without peaks have no edges.
     """
     width = max(dalton, 1e-6 * ppm * 2_000) * 2 + 2 * EPSILON
-
-    def buckets(values: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform(values, lambda v: F.array(F.floor(v / width), F.floor(v / width) + 1))))
-
-    own = F.transform("peaks", lambda p: p["mz"])
-    lost = F.transform("peaks", lambda p: F.col("precursor_mz") - p["mz"])
-    keys = spectra.select("feature_id", F.explode(buckets(own)).alias("b"), F.lit(0).alias("k"))
-    if method != "entropy":
-        keys = keys.unionByName(spectra.select("feature_id", F.explode(buckets(lost)).alias("b"), F.lit(1).alias("k")))
+    share = F.transform("peaks", lambda p: p["intensity"] / total(F.col("peaks")))
+    peaks = spectra.where(F.size("peaks") > 0).select("feature_id", "precursor_mz", F.posexplode(F.arrays_zip(F.transform("peaks", lambda p: p["mz"]).alias("mz"), share.alias("i"))).alias("p", "x"))
+    places = [("x.mz", 0)] if method == "entropy" else [("x.mz", 0), ("precursor_mz - x.mz", 1)]
+    each = [F.struct((F.floor(F.expr(v) / width) + step).alias("b"), F.lit(k).alias("k")) for v, k in places for step in (0, 1)]
+    keys = peaks.select("feature_id", "p", F.col("x.i").alias("i"), F.explode(F.array(*each)).alias("e")).select("feature_id", "p", "i", "e.b", "e.k")
+    keys = _needed_keys(cut(keys), threshold) if threshold > 0 and method != "entropy" else keys.select("feature_id", "b", "k").distinct()
+    keys = cut(keys)
     pairs = keys.withColumnRenamed("feature_id", "feature_source").join(keys.withColumnRenamed("feature_id", "feature_target"), ["b", "k"]).where("feature_source < feature_target").select("feature_source", "feature_target").distinct()
     a = spectra.select(F.col("feature_id").alias("feature_source"), F.col("peaks").alias("pa"), F.col("precursor_mz").alias("ma"))
     b = spectra.select(F.col("feature_id").alias("feature_target"), F.col("peaks").alias("pb"), F.col("precursor_mz").alias("mb"))

@@ -15,7 +15,7 @@ from spectrail.operators.intervals import Tolerance
 from spectrail.operators.libraries import completed_organisms, library_pairs, looked_up, prepared_library
 from spectrail.operators.masses import propagate_in_components
 from spectrail.operators.scoring import LAYER, collapse_to_anchors, drop_null_columns, mini_labels, promote_anchors
-from spectrail.operators.spectra import aligned_score, annotate_spectra, joined_peaks, reduce_library, shifted_cosine
+from spectrail.operators.spectra import aligned_score, annotate_spectra, entropy_similarity, joined_peaks, reduce_library, shifted_cosine, similarity_edges
 from spectrail.plans.annotate_masses import MassSettings, annotate_masses
 from spectrail.plans.filter_annotations import filter_annotations
 from spectrail.sources.annotations import report_mgf, spectral_library
@@ -120,6 +120,27 @@ def test_aligned_score_equals_brute_force():
     assert aligned_score([]) == aligned_score([(1.0, 0.0, 1.0, 2.0)]) == (0.0, 0)
 
 
+@pytest.mark.parametrize("method", ["gnps", "entropy"])
+def test_similarity_edges_lose_no_pair(spark, method):
+    """All pairs above the threshold, by brute force, though one peak is in every spectrum."""
+    rng = random.Random(14)
+    spectra = []
+    for n in range(40):
+        at = sorted({100.0, *(rng.randrange(20, 180) * 1.0 for _ in range(rng.randrange(1, 5)))})
+        spectra.append((n, 200.0 + rng.randrange(3), [(m, rng.random() + (0.01 if m == 100.0 else 0.3)) for m in at]))
+    spectra += [(100, 200.0, []), (101, 201.0, [(50.0, 1.0)])]
+    df = spark.createDataFrame(spectra, "feature_id long, precursor_mz double, peaks array<struct<mz: double, intensity: double>>")
+    for threshold in (0.0, 0.5, 0.8):
+        got = {(r.feature_source, r.feature_target): r.candidate_score_similarity for r in similarity_edges(df, method, threshold).collect()}
+        want = {}
+        for a, pa, x in spectra:
+            for b, pb, y in spectra:
+                score = 0.0 if a >= b else entropy_similarity(x, y, 0.01, 10.0) if method == "entropy" else shifted_cosine(x, y, pa, pb, 0.01, 10.0)[0]
+                if score > threshold and (method == "gnps" or {m for m, _ in x} & {m for m, _ in y}):
+                    want[a, b] = score
+        assert got == pytest.approx(want) and (threshold or len(want) > 100)
+
+
 def test_rescue_by_neutral_mass(spark):
     peaks = "array<struct<mz: double, intensity: double>>"
     own = [(50.0, 1.0), (60.0, 2.0)]
