@@ -24,6 +24,9 @@ SCORE = StructType([StructField("score", DoubleType()), StructField("matches", I
 #: Added to every tolerance: the square root of the spacing of doubles at 1.
 EPSILON = sqrt(2.0**-52)
 
+#: Pairs of spectra that one task compares.
+PAIRS_A_TASK = 20_000
+
 Peaks = list[tuple[float, float]]
 
 
@@ -363,7 +366,10 @@ def similarity_edges(spectra: DataFrame, method: str = "gnps", threshold: float
     pairs = keys.withColumnRenamed("feature_id", "feature_source").join(keys.withColumnRenamed("feature_id", "feature_target"), ["b", "k"]).where("feature_source < feature_target").select("feature_source", "feature_target").distinct()
     a = spectra.select(F.col("feature_id").alias("feature_source"), F.col("peaks").alias("pa"), F.col("precursor_mz").alias("ma"))
     b = spectra.select(F.col("feature_id").alias("feature_target"), F.col("peaks").alias("pb"), F.col("precursor_mz").alias("mb"))
-    scored = pairs.join(a, "feature_source").join(b, "feature_target").withColumn("s", similarity(method, dalton, ppm)("pa", "pb", "ma", "mb"))
+    # Comparing costs far more than a pair's few bytes suggest, so the number of tasks follows the pairs.
+    pairs = cut(pairs)
+    tasks = max(2 * spectra.sparkSession.sparkContext.defaultParallelism, pairs.count() // PAIRS_A_TASK)
+    scored = pairs.join(a, "feature_source").join(b, "feature_target").repartition(tasks).withColumn("s", similarity(method, dalton, ppm)("pa", "pb", "ma", "mb"))
     found = scored.select("feature_source", "feature_target", F.col("s.score").alias("candidate_score_similarity"), F.col("s.matches").alias("matches"))
     return found.where((F.col("candidate_score_similarity") > threshold) & (F.col("matches") >= least_matches))
 
