@@ -317,3 +317,7 @@ _EVEN = """q AS (SELECT vec_id, label, mz, v / s AS w FROM p JOIN t USING (vec_i
 u AS (SELECT q.vec_id, label, mz, CASE WHEN e < 3 THEN pow(w, 0.25 + e * 0.25) ELSE w END AS w FROM q JOIN h USING (vec_id)), n AS (SELECT vec_id, sum(w) AS s FROM u GROUP BY 1), k AS (SELECT u.vec_id, label, mz, w / s AS w FROM u JOIN n USING (vec_id))"""
 SQL["entropy_similarity"] = f"""WITH {_COS}, {_EVEN} SELECT a.vec_id AS feature_id, b.vec_id AS other, round(sum((a.w + b.w) * ln(a.w + b.w) - a.w * ln(a.w) - b.w * ln(b.w)) / ln(4), 6) AS score
 FROM k a JOIN k b ON a.label = b.label AND a.mz = b.mz AND a.vec_id < b.vec_id GROUP BY 1, 2"""
+SQL["spectra_dynamic_cutoff"] = f"""WITH {_P}, k AS (SELECT vec_id, v FROM p WHERE v > 0), m AS (SELECT vec_id, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.05) AS low FROM k GROUP BY 1), d AS (SELECT vec_id, quantile_cont(abs(v - med), 0.5) AS mad FROM k JOIN m USING (vec_id) GROUP BY 1)
+SELECT vec_id AS feature_id, count(*) AS n FROM k JOIN m USING (vec_id) JOIN d USING (vec_id) WHERE v >= CASE WHEN med - 2 * 1.4826 * mad > 0 THEN med - 2 * 1.4826 * mad ELSE low END GROUP BY 1"""
+SQL["adduct_pair_differences"] = """WITH c(e, w) AS (VALUES ('H', 1.00782503223::DOUBLE), ('Na', 22.989769282::DOUBLE), ('K', 38.9637064864::DOUBLE)), l(t, w) AS (VALUES ('', 0::DOUBLE), ('-H2O', 2 * 1.00782503223::DOUBLE + 15.99491461957::DOUBLE)),
+u AS (SELECT '[M' || t || '+' || e || ']+' AS x, c.w - l.w AS w FROM c, l) SELECT a.x AS group1, b.x AS group2, round(b.w - a.w, 6) AS distance FROM u a JOIN u b ON a.w < b.w AND b.w - a.w >= 0.001"""
