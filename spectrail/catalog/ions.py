@@ -193,8 +193,8 @@ def sdf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mztab_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of the best candidates, as numbered lines."""
-    best = table(spark, sf_dir, "clean_chemo").where("feature_id IS NOT NULL AND score_weighted_chemo IS NOT NULL AND NOT isnan(score_weighted_chemo)").groupBy("feature_id").agg(F.max(F.struct("score_weighted_chemo", F.col("candidate_id").alias("i"), F.col(LAYER).alias("l"), F.col("candidate_structure_name").alias("n"), F.col("candidate_adduct").alias("a"))).alias("b"))
-    results = best.select("feature_id", F.lit(100.5).alias("mz"), F.lit(2.0).alias("rt"), F.col("b.a").alias("adduct"), F.col("b.l").alias("structure"), F.col("b.n").alias("name"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("smiles"), F.col("b.score_weighted_chemo").alias("score"), F.lit(1).alias("rank"))
+    best = table(spark, sf_dir, "clean_chemo").where("feature_id IS NOT NULL AND score_weighted_chemo IS NOT NULL AND NOT isnan(score_weighted_chemo)").groupBy("feature_id").agg(F.max(F.struct("score_weighted_chemo", F.col("candidate_id").alias("i"), F.col(LAYER).alias("l"), F.col("candidate_structure_name").alias("n"), F.col("candidate_adduct").alias("a"), F.when(~F.isnan("candidate_structure_error_mz"), F.col("candidate_structure_error_mz")).alias("e"))).alias("b"))
+    results = best.select("feature_id", (F.coalesce("b.e", F.lit(0.0)) + 400).alias("mz"), (F.col("b.score_weighted_chemo") * 10).alias("rt"), F.col("b.a").alias("adduct"), F.col("b.l").alias("structure"), F.col("b.n").alias("name"), F.lit(None).cast("string").alias("formula"), F.lit(None).cast("string").alias("smiles"), F.col("b.score_weighted_chemo").alias("score"), F.lit(1).alias("rank"))
     tables = mztab_tables(results)
     parts = spark.createDataFrame([(0, 0, "MTD\tmzTab-version\t2.0.0-M"), (0, 1, "MTD title\ttest")], "part int, place int, value string").withColumn("s", F.lit(0))
     for n, (name, head, row, order) in enumerate((("sml", "SMH", "SML", "SML_ID"), ("smf", "SFH", "SMF", "SMF_ID"), ("sme", "SEH", "SME", "SME_ID")), 1):
@@ -209,8 +209,9 @@ def mztab_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mztab_to_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of its summary rows by their structure: one per structure."""
-    return mztab_features(parse_mztab(_mztab_lines(spark, sf_dir))).groupBy("rt", "mz").agg(F.count("*").alias("n"))
+    """Features of the document's summary rows: one per structure, with the m/z, time and adduct of its first feature."""
+    found = mztab_features(parse_mztab(_mztab_lines(spark, sf_dir)))
+    return found.select("feature_id", F.round("mz", 6).alias("mz"), F.round("rt", 6).alias("rt"), "adduct")
 
 
 def mztab_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,8 +294,8 @@ SELECT a AS feature_id, b AS other, round(sum(m), 6) AS score FROM (SELECT a, b,
     "prefix_dispatch_text": "WITH l AS (SELECT name_id, substr(structure_inchikey, 1, 3) || structure_name AS line FROM structures_names) SELECT substr(line, 1, 3) AS prefix, substr(line, 4) AS rest, row_number() OVER (PARTITION BY substr(line, 1, 3) ORDER BY name_id) AS place FROM l WHERE line IS NOT NULL",
     "mgf_round_trip": f"WITH {_P}, k AS (SELECT vec_id, any_value(label) AS label, count(*) AS n FROM p GROUP BY 1) SELECT vec_id AS feature_id, (SELECT max(len(embedding)) FROM embeddings) + label + 2.0::DOUBLE AS precursor_mz, -1 AS charge, round(label / 2, 6) AS rt, n FROM k",
     "sdf_records": "SELECT stereo_id::VARCHAR AS id, regexp_replace(structure_inchikey, '\\s', '', 'g') AS inchikey FROM structures_stereo WHERE structure_name IS NOT NULL AND structure_inchikey IS NOT NULL",
-    "mztab_round_trip": f"SELECT feature_id, candidate_adduct AS adduct, 100.5::DOUBLE AS mz FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1",
-    "mztab_features": f"WITH b AS (SELECT {LAYER} AS l FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1) SELECT 2.0::DOUBLE AS rt, 100.5::DOUBLE AS mz, count(DISTINCT coalesce(l, '-')) AS n FROM b",
+    "mztab_round_trip": f"WITH b AS (SELECT feature_id, candidate_adduct AS a, {LAYER} AS l, coalesce(CASE WHEN NOT isnan(candidate_structure_error_mz) THEN candidate_structure_error_mz END, 0) + 400 AS mz, score_weighted_chemo * 10 AS rt FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1) SELECT feature_id, a AS adduct, mz FROM b",
+    "mztab_features": f"WITH b AS (SELECT feature_id, candidate_adduct AS a, {LAYER} AS l, coalesce(CASE WHEN NOT isnan(candidate_structure_error_mz) THEN candidate_structure_error_mz END, 0) + 400 AS mz, score_weighted_chemo * 10 AS rt FROM clean_chemo WHERE feature_id IS NOT NULL AND NOT isnan(score_weighted_chemo) QUALIFY row_number() OVER (PARTITION BY feature_id ORDER BY score_weighted_chemo DESC, candidate_id DESC) = 1), g AS (SELECT l, arg_min(mz, feature_id) AS mz, arg_min(rt, feature_id) AS rt, min(a) AS a FROM b GROUP BY l), n AS (SELECT *, row_number() OVER (ORDER BY l NULLS LAST) AS i FROM g) SELECT i::VARCHAR AS feature_id, round(mz, 6) AS mz, round(rt, 6) AS rt, a AS adduct FROM n",
     "mztab_metadata": "SELECT key, value FROM (VALUES ('mzTab-version', '2.0.0-M'), ('title', 'test')) t(key, value)",
     "mztab_merge": """WITH s AS (SELECT structure_inchikey_no_stereo AS k, library, string_agg(DISTINCT stereo_id::VARCHAR, '|') AS x, min(structure_smiles) AS smiles FROM structures_stereo WHERE structure_inchikey_no_stereo IS NOT NULL AND library IN ('florabase', 'mycoindex') GROUP BY 1, 2),
 r AS (SELECT structure_inchikey_no_stereo AS k, string_agg(DISTINCT stereo_id::VARCHAR, '|' ORDER BY stereo_id::VARCHAR) AS refs FROM structures_stereo WHERE structure_inchikey_no_stereo IS NOT NULL AND library IN ('florabase', 'mycoindex') GROUP BY 1)
