@@ -289,3 +289,13 @@ SELECT structure_inchikey_no_stereo, a[i] AS libraries, b[i] AS ids FROM c, LATE
 SELECT structure_inchikey, string_agg(v, ' $ ' ORDER BY o) AS names FROM s LEFT JOIN f USING (structure_inchikey) GROUP BY 1""",
     "smiles_cache": "WITH c AS (SELECT structure_smiles, min(structure_smiles_no_stereo) AS canonical FROM structures_stereo WHERE structure_smiles IS NOT NULL GROUP BY 1) SELECT pair_id, canonical FROM structure_organism_pairs LEFT JOIN c USING (structure_smiles)",
 }
+
+
+def _label(x: str) -> str:
+    other = f"CASE WHEN p_{x} NOT IN ('notConsistent', 'empty') THEN q_{x} END"
+    own = f"CASE WHEN {x} IS NOT NULL THEN sc END"
+    return f"CASE WHEN coalesce({own} >= {other}, {own} IS NOT NULL) THEN {x} WHEN {other} IS NOT NULL THEN p_{x} END AS label_{x}"
+
+
+SQL["predicted_class_labels"] = f"""WITH {_VOTE}, pr AS (SELECT s AS f, {", ".join(f"max(val) FILTER (level = '{x}' AND score >= 0) AS p_{x}, max(score) FILTER (level = '{x}') AS q_{x}" for x in LEVELS)} FROM win GROUP BY 1)
+SELECT f AS feature_id, l AS {LAYER}, {", ".join(map(_label, LEVELS))} FROM ann LEFT JOIN pr USING (f)"""
